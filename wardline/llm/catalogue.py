@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, url_filter
+from . import decontamination, mixing, near_dedup, quality_rules, url_filter
 
 QUERIES = {
+    "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_url_filter": url_filter.op8_url_filter,
     "op10_source_mixing": mixing.op10_source_mixing,
