@@ -45,7 +45,7 @@ def input_bytes(df: DataFrame, text: str | None = None) -> int:
 
     Where the plan has no usable estimate, ``text`` is summed instead.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size < 1 << 50:
         return size
     if text is None:
