@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, mixing, near_dedup, quality_rules, substring_dedup, suffix_dedup, url_filter
+from . import decontamination, html_extract, language_id, mixing, near_dedup, quality_rules, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_html_extraction": html_extract.op9_html_extraction,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 ORACLE_SQL = {
