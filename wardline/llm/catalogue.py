@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extract, language_id, mixing, near_dedup, quality_rules, substring_dedup, suffix_dedup, url_filter
+from . import decontamination, html_extract, language_id, mixing, near_dedup, private_data, quality_rules, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_suffix_array_dedup": suffix_dedup.op2_suffix_array_dedup,
+    "op3_private_data": private_data.op3_private_data,
     "op4_language_id": language_id.op4_language_id,
     "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
     "op6_near_dedup": near_dedup.op6_near_dedup,
