@@ -17,10 +17,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group, the least id; of rows with one id, one."""
-    kept = near_dedup.near_duplicates(docs, k=5).filter("kept").select(F.col("doc_id").alias("_kept")).distinct().hint("merge")
+    """Keeps one document of each near-duplicate group, the least id; of rows with one id, one. Rows without id all stay."""
+    kept = near_dedup.near_duplicates(docs.filter("doc_id IS NOT NULL"), k=5).filter("kept").select(F.col("doc_id").alias("_kept")).distinct().hint("merge")
     one = docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi")
-    return one.dropDuplicates(["doc_id"])
+    return one.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
