@@ -28,6 +28,8 @@ HASHES = BANDS * ROWS
 MAYBE = 0.64
 #: Members of a bucket that are compared as one block.
 BLOCK = 1_000
+#: Least hashes of a set that go with a member into the search across components: sets up to this size are whole.
+SKETCH = 512
 
 _rng = np.random.default_rng(7_654_321)
 _MUL = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -87,7 +89,10 @@ def _shingle_sets(k: int):
             for part in slices(batch, "text", 1 << 21):
                 hashes, begin = _sets(part["text"], k)
                 values = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], values], names=["id", "hashes"])
+                # Hashes are uniform and sorted: the first ones are a bottom-k sketch.
+                high = (hashes >> np.uint64(32)).astype(np.uint32)
+                least = [high[a : min(b, a + SKETCH)].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], values, pa.array(least, pa.binary())], names=["id", "hashes", "least"])
 
     return sets
 
@@ -116,27 +121,65 @@ def _linked(percent: int):
     return verify
 
 
-def _across(key, blocks):
-    """Pairs of one block pair of a bucket that lie in different components and have like signatures."""
-    side = blocks["side"].to_numpy()
-    ids, comp = blocks["id"].to_numpy(), blocks["comp"].to_numpy()
-    sigs = np.frombuffer(b"".join(blocks["sig"].to_pylist()), np.uint16).reshape(-1, HASHES)
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    out_a, out_b = [], []
-    for i in left:
-        others = right[(comp[right] != comp[i]) & (ids[right] != ids[i])]
-        if len(others):
-            near = others[(sigs[others] == sigs[i]).sum(axis=1) >= MAYBE * HASHES]
-            out_a += [ids[i]] * len(near)
-            out_b += ids[near].tolist()
-    a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+def _resemble(a: np.ndarray, b: np.ndarray, percent: int) -> int:
+    """2: the pair is linked, 1: full sets must tell, 0: it is not; from bottom-k sketches, which hold small sets whole."""
+    shared = len(a) + len(b) - len(union := np.union1d(a, b))
+    if max(len(a), len(b)) < SKETCH:
+        # Whole sets, but of shortened hashes: close calls are left to the full ones.
+        if abs(100 * shared - percent * len(union)) <= 2 * len(union):
+            return 1
+        return 2 if 100 * shared >= percent * len(union) else 0
+    k = min(SKETCH, len(union))
+    last = union[k - 1]
+    both = np.intersect1d(a, b, assume_unique=True)
+    share = np.searchsorted(both, last, "right") / k
+    return 1 if share >= percent / 100 - 4.5 * np.sqrt(percent / 100 * (1 - percent / 100) / k) else 0
+
+
+def _across(percent: int):
+    """Of one block pair of a bucket: links between components that sketches confirm, as many as it takes to join them,
+    and the pairs that only full sets can tell about."""
+
+    def search(key, blocks):
+        side, ids, comp = (blocks[c].to_numpy() for c in ("side", "id", "comp"))
+        sigs = np.frombuffer(b"".join(blocks["sig"].to_pylist()), np.uint16).reshape(-1, HASHES)
+        least = [np.unique(np.frombuffer(x, np.uint32)) for x in blocks["least"].to_pylist()]
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        out = []
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        for i in left.tolist():
+            others = right[comp[right] != comp[i]]
+            others = others[(side[others] != 2) | (others > i)]
+            if not len(others):
+                continue
+            agree = (sigs[others] == sigs[i]).sum(axis=1)
+            near = agree >= MAYBE * HASHES
+            # The likeliest first: one link settles a component.
+            for j in others[near][np.argsort(-agree[near], kind="stable")].tolist():
+                x, y = root(int(comp[i])), root(int(comp[j]))
+                if x == y:
+                    continue
+                verdict = _resemble(least[i], least[j], percent)
+                if verdict:
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j]), verdict == 2))
+                if verdict == 2:
+                    joined[max(x, y)] = min(x, y)
+        a, b, sure = (list(x) for x in zip(*out)) if out else ([], [], [])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sure": pa.array(sure, pa.bool_())})
+
+    return search
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of which the full sets pass the threshold, as u, v."""
-    left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("hashes_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hashes_b"))
+    left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("hashes_a")).hint("merge")
+    right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hashes_b")).hint("merge")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_linked(percent), "u long, v long")
 
 
@@ -160,8 +203,9 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     members = written(banded.join(shared, "key"), "near-members")
     popular = members.groupBy("id").agg(F.sum("n").alias("popularity"))
     met = written(popular.join(one.select(F.col("doc_id").alias("id"), "sig"), "id"), "near-met")
-    sets = docs.join(met.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(sets.mapInArrow(_shingle_sets(k), "id long, hashes array<bigint>"), "near-sets")
+    # The ids grow with the input, so texts meet them in a merge join at every size.
+    sets = docs.join(met.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = written(sets.mapInArrow(_shingle_sets(k), "id long, hashes array<bigint>, least binary"), "near-sets")
 
     ranked = members.join(met.select("id", "popularity"), "id")
     hub = ranked.groupBy("key").agg(F.min(F.struct((-F.col("popularity")).alias("p"), "id")).alias("h")).select("key", F.col("h.id").alias("hub"))
@@ -172,6 +216,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     first = components(links)
 
     labelled = met.join(first.withColumnRenamed("u", "id"), "id", "left").select("id", "sig", F.coalesce("v", "id").alias("comp"))
+    labelled = labelled.join(sets.select("id", "least"), "id")
     open_keys = (
         members.join(labelled.select("id", "comp"), "id").groupBy("key")
         .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).filter("low != high")
@@ -188,9 +233,10 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
         )
         .join(labelled, "id")
     )
-    more = dealt.groupBy("key", "i", "j").applyInArrow(_across, "a long, b long").distinct()
-    known = links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-    late = written(confirmed(more.join(known, ["a", "b"], "left_anti"), sets, percent), "near-late")
+    more = dealt.groupBy("key", "i", "j").applyInArrow(_across(percent), "a long, b long, sure boolean")
+    more = written(more.groupBy("a", "b").agg(F.max("sure").alias("sure")), "near-more")
+    sure = more.filter("sure").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    late = written(confirmed(more.filter("not sure").select("a", "b"), sets, percent).unionByName(sure), "near-late")
     final = components(first.unionByName(late))
 
     placed = owner.join(final.select(F.col("u").alias("rep"), "v"), "rep", "left").select("doc_id", F.coalesce("v", "rep").alias("component_id"))
