@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import groups_for, input_bytes
+from .shared import groups_for, input_bytes, small_batches
 
 #: Bytes of the stored input to a chunk and to a bucket; text in memory is some times that.
 CHUNK_BYTES = 1_500_000
@@ -122,6 +122,7 @@ def resolve(docs: DataFrame, method, out_schema: str, chunk_bytes: int = CHUNK_B
     - ``answer(blobs)``: for the blobs of a group, per blob the positions that are not first anywhere;
     - ``finish(table, answered)``: the result rows of a chunk.
     """
+    small_batches(docs.sparkSession)
     chunks, n = chunked(docs, chunk_bytes)
     shared = shared_hashes(chunks, method.anchors, n)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WORD
+from .shared import WORD, small_batches
 from .tokens import buffer_of, shingles, slices
 
 K = 5
@@ -162,6 +162,7 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> D
     sequence. Repeated documents give repeated rows, repeated items (same id and text) do not. Empty tables give an
     empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     out = None
     for sent in item_blocks(items):
@@ -198,6 +199,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
 
         return keep
 
+    small_batches(docs.sparkSession)
     out = docs
     for sent in item_blocks(items):
         out = out.mapInArrow(keeper(sent), docs.schema)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .html_blocks import Block, blocks
+from .shared import small_batches
 from .tokens import buffer_of, span_hashes, slices, word_bounds
 
 PATH_CELLS, WORD_CELLS, PLAIN = 96, 12, 6
@@ -311,6 +312,7 @@ def extract(pages: DataFrame, model: Labeller, html: str = "html") -> DataFrame:
     Null and empty pages, and pages of which no block is article text, give an empty text. Whole pages are read, however
     long; repeated pages give equal texts. Nothing is shuffled.
     """
+    small_batches(pages.sparkSession)
     pages = pages.drop(*(c for c in ("text", "n_chars") if c != html))
     sent = pages.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in pages.columns if c != html]

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import small_batches
 from .tokens import buffer_of, slices
 
 FAMILIES = {
@@ -191,6 +192,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     Only the text is an input. Null texts and texts without letters are ``und`` with score 0, as is every text when no
     labelled rows were there to fit on. Repeated rows get equal predictions; nothing is shuffled.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

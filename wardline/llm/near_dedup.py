@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import small_batches, written
 from .tokens import buffer_of, mix, shingles, slices
 
 K = 4
@@ -107,20 +107,6 @@ def _alike(batches):
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(near))
 
 
-def _linked(percent: int):
-    def verify(batches):
-        for batch in batches:
-            a, b = batch["hashes_a"], batch["hashes_b"]
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = a[i].values.to_numpy(), b[i].values.to_numpy()
-                shared = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["u", "v"]).filter(pa.array(keep))
-
-    return verify
-
-
 def _resemble(a: np.ndarray, b: np.ndarray, percent: int) -> int:
     """2: the pair is linked, 1: full sets must tell, 0: it is not; from bottom-k sketches, which hold small sets whole."""
     shared = len(a) + len(b) - len(union := np.union1d(a, b))
@@ -180,7 +166,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of which the full sets pass the threshold, as u, v."""
     left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("hashes_a")).hint("merge")
     right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hashes_b")).hint("merge")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_linked(percent), "u long, v long")
+    met = pairs.join(left, "a").join(right, "b")
+    sizes = F.size("hashes_a") + F.size("hashes_b")
+    met = met.select("a", "b", sizes.alias("sizes"), F.size(F.array_intersect("hashes_a", "hashes_b")).alias("shared"))
+    return met.filter(100 * F.col("shared") >= percent * (F.col("sizes") - F.col("shared"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -192,6 +181,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     its id. Bands find a pair at 0.8 with probability over 0.9999 (25 bands of 5), and surer above.
     An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     signed = written(docs.mapInArrow(_sign(k), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<bigint>, sig binary"), "near-signed")
     full = signed.filter("n_shingles > 0")

@@ -30,8 +30,6 @@ ROUNDS = 3
 SEEDS, SURE = 3, 0.6
 #: Share of the documents with a pattern's word in which it introduces an identifier; common words fall far below.
 SPECIFIC = 0.2
-#: Up to so many words of patterns are broadcast to be counted in all texts; more are shuffled.
-BROADCAST_WORDS = 200_000
 
 
 def spans_of(text: Column, pattern: str) -> Column:
@@ -162,13 +160,10 @@ def sure_patterns(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
             .agg(F.greatest(F.max("seed"), F.max(F.when(F.col("seeds") >= SEEDS, F.col("confidence")).otherwise(0.0))).alias("score"))
         )
     likely = patterns.filter((F.col("seeds") >= SEEDS) & (F.col("confidence") >= SURE))
-    words = likely.select("left").distinct()
-    n = words.count()
+    # Texts per word are summed where the texts are, before words meet patterns: a common word is one row of each task.
     plain = F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\p{Punct}]+", ""))
     each = docs.select(F.explode(F.array_distinct(F.split(plain, r"[\x20\x09-\x0D]+", -1))).alias("left"))
-    if n == 0:
-        return likely.select("left", "kind", "confidence")
-    counted = each.join(F.broadcast(words) if n <= BROADCAST_WORDS else words, "left", "left_semi").groupBy("left").agg(F.count(F.lit(1)).alias("texts"))
+    counted = each.groupBy("left").agg(F.count(F.lit(1)).alias("texts"))
     return likely.join(counted, "left").filter(F.col("rows") >= SPECIFIC * F.col("texts")).select("left", "kind", "confidence")
 
 

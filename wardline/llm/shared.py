@@ -40,6 +40,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Limits the rows of an Arrow batch: texts are long, and a worker holds whole batches. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, rows)
+
+
 def input_bytes(df: DataFrame, text: str | None = None) -> int:
     """Estimated bytes of ``df`` from the optimizer's statistics, which need no scan.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions import text as T
 
 
 def category_bit(detector: Column) -> Column:
@@ -47,6 +48,16 @@ def combine(findings: DataFrame, keys: list[str]) -> DataFrame:
     return own.select(*keys, "detector", "severity", "rule", "excerpt").unionByName(made)
 
 
+def combine_texts(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """``combine`` for units that are one text each, with the findings computed once: a text's findings, which its length
+    bounds, meet in one row. Units of unbounded size go through ``combine``."""
+    one = F.struct("detector", "severity", "rule", "excerpt")
+    met = findings.filter(F.col("detector") != "composite").groupBy(*keys).agg(F.collect_list(one).alias("_all"), F.bit_or(category_bit(F.col("detector"))).alias("_mask"))
+    why = reason(F.col("_mask"))
+    made = F.struct(F.lit("composite").alias("detector"), F.lit(R.CRITICAL).alias("severity"), F.lit("composite").alias("rule"), why.alias("excerpt"))
+    return T.expand(met, keys, F.concat("_all", F.when(why.isNotNull(), F.array(made)).otherwise(F.slice("_all", F.lit(1), F.lit(0)))))
+
+
 def levels(findings: DataFrame, text_keys: list[str], action_keys: list[str], toolkit_keys: list[str]) -> DataFrame:
     """Composites at three levels in one pass: per text, per action, and per toolkit (grouping sets over one mask)."""
     bits = findings.filter(F.col("detector") != "composite").withColumn("bit", category_bit(F.col("detector")))

@@ -227,15 +227,21 @@ def layout(text: Column) -> Column:
     )
 
 
+def _strong(inner: Column) -> Column:
+    """Whether a text holds a phrase of HIGH severity or more; the rules stand in the plan once, bound to the text."""
+    return F.exists(F.concat(by_pattern(inner, F.lower(inner), R.PHRASES), squashed(inner)), lambda s: s["severity"] >= R.HIGH)
+
+
 def hidden_markup(text: Column) -> Column:
     """Every hidden element: CRITICAL if what it holds is itself a HIGH phrase, else MEDIUM."""
+    none = F.expr("cast(array() as array<struct<name:string,inner:string>>)")
 
     def each(name: str, pattern: str) -> Column:
-        inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        strong = lambda x: F.exists(by_pattern(x, F.lower(x), R.PHRASES), lambda s: s["severity"] >= R.HIGH)
-        return F.transform(inner, lambda x: T.let(x, lambda y: signal("hidden_markup", F.when(strong(y), R.CRITICAL).otherwise(R.MEDIUM), name, y)))
+        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(name).alias("name"), x.alias("inner")))
+        return F.when(text.rlike(pattern), found).otherwise(none)
 
-    return F.concat(*(F.when(text.rlike(p), each(n, p)).otherwise(F.expr(NONE)) for n, p in R.MARKUP))
+    every = F.concat(*(each(n, p) for n, p in R.MARKUP))
+    return F.transform(every, lambda x: signal("hidden_markup", F.when(_strong(x["inner"]), R.CRITICAL).otherwise(R.MEDIUM), x["name"], x["inner"]))
 
 
 def escape_run(text: Column) -> Column:
@@ -243,11 +249,10 @@ def escape_run(text: Column) -> Column:
     cases = None
     for n, p in enumerate(R.ESCAPES):
         run = F.regexp_extract(text, p, 0)
-        spelt = decoded_escape(run, n)
-        strong = F.size(F.concat(by_pattern(spelt, F.lower(spelt), R.PHRASES), squashed(spelt))) > 0
-        found = signal("escape_run", F.when(F.coalesce(strong, F.lit(False)), R.CRITICAL).otherwise(R.HIGH), f"form_{n}", run)
+        found = F.struct(F.lit(f"form_{n}").alias("form"), run.alias("run"), decoded_escape(run, n).alias("spelt"))
         cases = F.when(text.rlike(p), found) if cases is None else cases.when(text.rlike(p), found)
-    return _kept([cases])
+    first = F.array_compact(F.array(cases))
+    return F.transform(first, lambda x: signal("escape_run", F.when(F.coalesce(_strong(x["spelt"]), F.lit(False)), R.CRITICAL).otherwise(R.HIGH), x["form"], x["run"]))
 
 
 def decoded_escape(run: Column, form: int) -> Column:

@@ -35,7 +35,7 @@ def scan_texts(texts: DataFrame, keys: list[str], text: str = "text", full: bool
 
 def scan(texts: DataFrame, keys: list[str], text: str = "text", **options) -> DataFrame:
     """Findings with a composite per damning text."""
-    return combine.combine(scan_texts(texts, keys, text, **options), keys)
+    return combine.combine_texts(scan_texts(texts, keys, text, **options), keys)
 
 
 def name_of(action: str = "action", name: str = "name") -> Column:
