@@ -25,6 +25,8 @@ from .shared import groups_for, input_bytes, small_batches
 
 #: Bytes of the stored input to a chunk and to a bucket; text in memory is some times that.
 CHUNK_BYTES = 1_500_000
+#: Units whose anchors are found at once; places within a piece must fit 24 bits.
+PIECE = 1 << 23
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
@@ -47,16 +49,23 @@ def anchors_of(grams: np.ndarray, first: np.ndarray, length: int, k: int) -> tup
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     starts = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[:-1], n)
     width = length - k + 1
-    # The upper bits order by hash, the lower by place: the least is the leftmost of the least.
+    # The upper bits order by hash, the lower by place: the least is the leftmost of the least. Texts come in pieces in
+    # which a place fits the lower bits, however long a document is.
     low = np.uint64((1 << 24) - 1)
-    key = (grams & ~low) | (np.arange(len(grams), dtype=np.uint64) & low)
-    run, have = key, 1
-    while have * 2 <= width:
-        run = np.minimum(run[:-have], run[have:])
-        have *= 2
-    if have < width:
-        run = np.minimum(run[: len(run) - (width - have)], run[width - have :])
-    return starts, (run[starts] & low).astype(np.int64)
+    at = np.empty(total, np.int64)
+    for a in range(0, len(grams), PIECE):
+        x, y = np.searchsorted(starts, (a, a + PIECE))
+        if x == y:
+            continue
+        part = grams[a : a + PIECE + width - 1]
+        run, have = (part & ~low) | np.arange(len(part), dtype=np.uint64), 1
+        while have * 2 <= width:
+            run = np.minimum(run[:-have], run[have:])
+            have *= 2
+        if have < width:
+            run = np.minimum(run[: len(run) - (width - have)], run[width - have :])
+        at[x:y] = a + (run[starts[x:y] - a] & low).astype(np.int64)
+    return starts, at
 
 
 def pack(*arrays: np.ndarray) -> bytes:
