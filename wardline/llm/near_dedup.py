@@ -185,8 +185,9 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     signed = written(docs.mapInArrow(_sign(k), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<bigint>, sig binary"), "near-signed")
     full = signed.filter("n_shingles > 0")
-    reps = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    owner = written(full.select("doc_id", "fp1", "fp2").join(reps, ["fp1", "fp2"]).select("doc_id", "rep").distinct(), "near-owner")
+    # Written, so that the join below reads it from a shuffle: the rows of a hot group of copies are split over tasks.
+    reps = written(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")), "near-reps")
+    owner = written(full.select("doc_id", "fp1", "fp2").join(reps.hint("merge"), ["fp1", "fp2"]).select("doc_id", "rep").distinct(), "near-owner")
     one = full.join(owner.filter("doc_id = rep").select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
     banded = one.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
