@@ -44,15 +44,19 @@ class Gate:
 
     def inspect(self, tools: DataFrame) -> DataFrame:
         """toolkit, action, max_severity, message (the first finding at that level), n: one row per action with findings."""
-        found = scan.scan_tools(tools)
-        composite = scan.combined_tools(found).filter(F.col("action").isNotNull() & F.col("place").isNull()).select(
-            "toolkit", "action", F.lit("").alias("place"), F.lit("composite").alias("detector"), F.lit(R.CRITICAL).alias("severity"), F.lit("composite").alias("rule"), F.col("reason").alias("excerpt")
+        first = F.struct((-F.col("severity")).alias("s"), "place", "rule", "detector", "excerpt")
+        rows = scan.scan_tools(tools).groupBy("toolkit", "action").agg(
+            F.max("severity").alias("_max"), F.min(first).alias("_f"), F.count(F.lit(1)).alias("_n"), F.bit_or(combine.category_bit(F.col("detector"))).alias("_mask")
+        )
+        # Findings are aggregated once; the composite, which would come first, is read off their categories.
+        rows = rows.withColumn("_why", combine.reason(F.col("_mask")))
+        damning = F.col("_why").isNotNull()
+        return rows.select(
+            "toolkit", "action",
+            F.when(damning, R.CRITICAL).otherwise(F.col("_max")).alias("max_severity"),
+            F.when(damning, F.concat(F.lit("composite: "), "_why")).otherwise(F.concat("_f.detector", F.lit(": "), "_f.excerpt")).alias("message"),
+            (F.col("_n") + damning.cast("int")).alias("n"),
         )
-        every = found.unionByName(composite)
-        first = F.struct((-F.col("severity")).alias("s"), "place", "rule", "detector", F.col("excerpt"))
-        return every.groupBy("toolkit", "action").agg(
-            F.max("severity").alias("max_severity"), F.min(first).alias("_f"), F.count(F.lit(1)).alias("n")
-        ).select("toolkit", "action", "max_severity", F.concat("_f.detector", F.lit(": "), "_f.excerpt").alias("message"), "n")
 
     def usable(self, tools: DataFrame) -> DataFrame:
         """The tools whose own scan, all fields together, stays below the policy's deny level."""
@@ -111,5 +115,3 @@ class Gate:
         whole = sealed.agg(F.countDistinct(chain).alias("chains"), F.count(F.lit(1)).alias("entries"))
         return whole.join(F.broadcast(broken))
 
-
-__all__ = ["Gate", "Registration", "combine"]

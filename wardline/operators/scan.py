@@ -85,7 +85,9 @@ def scan_tools(tools: DataFrame) -> DataFrame:
     whose name asks for silence is a finding by itself.
     """
     keys = ["toolkit", "action", "place", "kind", "attribute"]
-    texts = flatten_tools(tools)
+    # Payloads fan out unevenly, so texts are dealt anew; behind the exchange the detectors stand in the plan once, not in
+    # every branch that texts come from, and both uses below read the same exchange.
+    texts = flatten_tools(tools).hint("rebalance")
     found = scan_texts(texts, keys)
     kept = found.filter((F.col("kind") != "name") | F.col("detector").isin(*NAME_DETECTORS))
     destination = F.col("detector").isin(*(d for d, c in R.CATEGORY_OF.items() if c == "destination"))
