@@ -292,6 +292,14 @@ SECRET = r"(?i)(?:^|[^A-Za-z])(?:api[ _-]?keys?|private[ _-]?keys?|keys?|seed ph
 DIRECTED = r"(?i)(?:^|[^A-Za-z])(?:to|at|into|via|towards|an|nach|zu|a|hacia)[ \t\r\n]*[`'\"(<]?[ \t\r\n]*\z|(?:到|至|给)[ \t\r\n]*\z"
 DOCUMENTED = r"(?i)(?:see|documentation at|docs at|docs:|reference:?|described at|read more at|more at)[ \t\r\n]*[`'\"(<]?[ \t\r\n]*\z"
 
+#: Words without which an expression above cannot match, in lower-cased text.
+NEEDS_VERB = ("send", "post", "transf", "upload", "forward", "deliver", "submit", "exfil", "withdraw", "übertrage", "env", "发送", "转账", "提交")
+NEEDS_SECRET = ("key", "seed phrase", "mnemonic", "passwor", "token", "credential", "secret", "balance", "schlüssel", "clave", "contraseña", "密钥", "密码", "余额")
+NEEDS_RECIPIENT = ("key", "wallet", "account", "address", "server", "vault")
+NEEDS_COLLECTOR = ("requestbin", "webhook", "pastebin", "ngrok", "pipedream", "hookbin", "burpcollaborator", "interact", "trycloudflare", "beeceptor")
+NEEDS_OBFUSCATED = (("hxxp",), ("http",), ("\\/\\/",), ("[.]", "(.)", "[dot]", "(dot)"))
+NEEDS_ACTION = ("action", "tool", "function", "endpoint", "helper", "method")
+
 #: Hidden and layout.
 MARKUP = (("html_comment", r"(?s)<!--(.*?)-->"), ("markdown_comment", r"\[//\]:[ \t]*#[ \t]*\(([^)\n]*)\)"), ("block_comment", r"(?s)/\*(.*?)\*/"), ("hidden_element", r"(?is)<[a-z]+[^>]*(?:display:[ ]*none|visibility:[ ]*hidden|[ ]hidden)[^>]*>(.*?)</"))
 HEX_BLOB = r"(?:0x)?[0-9a-fA-F]{60,}"

@@ -31,9 +31,23 @@ LOOKALIKE_FROM, LOOKALIKE_TO = "".join(_LOOKALIKES), "".join(_LOOKALIKES.values(
 FOREIGN = r"Ͱ-ϿЀ-ԯ԰-֏֐-׿؀-ۿႠ-ჿᎠ-᏿᐀-ᙿⲀ-⳿ꓐ-꓿"
 
 
+def plain(text: Column) -> Column:
+    """Whether a text is ASCII: as many bytes as code points. Most character work can be left out then."""
+    return F.octet_length(text) == F.length(text)
+
+
+def has_any(low: Column, words: tuple[str, ...]) -> Column:
+    """Whether one of the words is in a text; plain substrings cost far less than an expression."""
+    found = F.contains(low, F.lit(words[0]))
+    for w in words[1:]:
+        found = found | F.contains(low, F.lit(w))
+    return found
+
+
 def fold(text: Column) -> Column:
     """Invisible characters removed and look-alike letters replaced: the part of canonicalisation that needs no Python."""
-    return F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), STRIPPED, ""), LOOKALIKE_FROM, LOOKALIKE_TO)
+    whole = F.coalesce(text, F.lit(""))
+    return F.when(plain(whole), whole).otherwise(F.translate(F.regexp_replace(whole, STRIPPED, ""), LOOKALIKE_FROM, LOOKALIKE_TO))
 
 
 _FOLD = str.maketrans(_LOOKALIKES)
@@ -69,8 +83,8 @@ def disguised_letters(text: pd.Series) -> pd.Series:
 
 def with_canonical(df: DataFrame, text: str, out: str = "canon") -> DataFrame:
     """Adds the canonical text. Rows that are plain ASCII, or null, never enter a Python worker."""
-    plain = F.coalesce(F.col(text), F.lit("")).rlike(r"\A\p{ASCII}*\z")
-    return df.filter(plain).withColumn(out, F.coalesce(F.col(text), F.lit(""))).unionByName(df.filter(~plain).withColumn(out, canonicalised(F.col(text))))
+    ascii = plain(F.coalesce(F.col(text), F.lit("")))
+    return df.filter(ascii).withColumn(out, F.coalesce(F.col(text), F.lit(""))).unionByName(df.filter(~ascii).withColumn(out, canonicalised(F.col(text))))
 
 
 def clip(text: Column, n: int = 90) -> Column:

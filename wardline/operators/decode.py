@@ -50,11 +50,12 @@ def views(text: Column) -> Column:
     runs64 = F.when(text.rlike(BASE64_RUN), F.regexp_extract_all(text, F.lit(BASE64_RUN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     hexes = F.when(text.rlike(HEX_RUN), F.regexp_extract_all(text, F.lit(HEX_RUN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     view = lambda label, value: F.struct(F.lit(label).alias("label"), value.alias("decoded"))
-    percent = F.when(F.regexp_count(text, F.lit("%[0-9a-fA-F]{2}")) >= 4, F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))))
-    tags = F.when(F.regexp_count(text, F.lit(T.TAGS)) >= 4, F.array_join(F.transform(F.regexp_extract_all(text, F.lit(T.TAGS), F.lit(0)), lambda c: F.decode(F.unhex(F.lpad(F.hex(F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long") - 0xE0000), 8, "0")), "UTF-32")), ""))
+    percent = F.when(F.contains(text, F.lit("%")) & (F.regexp_count(text, F.lit("%[0-9a-fA-F]{2}")) >= 4), F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))))
+    tags = F.when(~T.plain(text) & (F.regexp_count(text, F.lit(T.TAGS)) >= 4), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(T.TAGS), F.lit(0)), lambda c: F.decode(F.unhex(F.lpad(F.hex(F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long") - 0xE0000), 8, "0")), "UTF-32")), ""))
     escapes = F.coalesce(*(F.when(text.rlike(p), detect.decoded_escape(F.regexp_extract(text, p, 0), n)) for n, p in enumerate(R.ESCAPES)))
-    letters = F.regexp_count(text, F.lit("[A-Za-z]"))
-    singles = [view("percent", percent), view("escapes", escapes), view("tags", tags), view("rot13", F.when(letters >= 12, F.translate(text, ROT_FROM, ROT_TO))), view("reversed", F.when(letters >= 12, F.reverse(text)))]
+    # Settled by the first dozen letters, wherever they are; counting would read all of them.
+    lettered = text.rlike("(?:[A-Za-z][^A-Za-z]*){12}")
+    singles = [view("percent", percent), view("escapes", escapes), view("tags", tags), view("rot13", F.when(lettered, F.translate(text, ROT_FROM, ROT_TO))), view("reversed", F.when(lettered, F.reverse(text)))]
     many = [
         F.transform(F.filter(F.transform(runs64, base64_text), lambda t: t.isNotNull() & wordy(t)), lambda t: view("base64", t)),
         F.transform(F.filter(F.transform(hexes, hex_text), lambda t: t.isNotNull() & wordy(t)), lambda t: view("hex", t)),
@@ -62,13 +63,18 @@ def views(text: Column) -> Column:
     return F.filter(F.concat(*many, F.array(*singles)), lambda v: v["decoded"].isNotNull() & (v["decoded"] != ""))
 
 
+def folded(readings: Column) -> Column:
+    """(label, _folded) of the readings; of those equal when folded, the first. Nothing leaves the row for that."""
+    each = F.transform(readings, lambda v: F.struct(v["label"].alias("label"), T.fold(v["decoded"]).alias("_folded")))
+    return T.let(each, lambda a: F.filter(a, lambda v, i: F.array_position(a["_folded"], v["_folded"]) == i + 1))
+
+
 def revealed(df: DataFrame, keys: list[str], text: str = "text", canon: str = "canon") -> DataFrame:
     """keys, label, detector, severity, rule, excerpt: what readings show that the canonical text does not.
 
     Readings equal when folded are looked at once. A HIGH phrase or override makes the finding CRITICAL.
     """
-    rows = T.expand(df, [*keys, F.col(canon).alias("_canon")], views(F.col(text)))
-    rows = rows.select(*keys, "_canon", "label", T.fold(F.col("decoded")).alias("_folded")).dropDuplicates([*keys, "_folded"])
+    rows = T.expand(df, [*keys, F.col(canon).alias("_canon")], folded(views(F.col(text))))
     rows = rows.withColumn("_low", F.lower("_folded"))
     found = T.expand(rows, [*keys, "label", "_canon"], F.concat(detect.by_pattern(F.col("_folded"), F.col("_low"), R.PHRASES), detect.squashed(F.col("_folded"))))
     found = found.filter((F.col("severity") >= R.HIGH) & ~F.contains(F.col("_canon"), F.col("excerpt")))

@@ -67,20 +67,26 @@ def deprecation(canon: Column, low: Column) -> Column:
     return _kept([F.when(declared & first.isNotNull(), F.when(canon.rlike(R.UNIVERSAL), redirect).otherwise(notice))])
 
 
+def _found(text: Column, pattern: str, gate: Column, group: int = 0) -> Column:
+    """All matches, or none where the gate says that there cannot be any."""
+    return F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
+
+
 def foreign_actions(canon: Column) -> Column:
     """Every other action that is named: called, routed through, or dangerous by its name."""
+    named_any, joined = T.has_any(F.lower(canon), R.NEEDS_ACTION), F.contains(canon, F.lit("_"))
 
     def each(pattern: str, make) -> Column:
-        return F.transform(F.regexp_extract_all(canon, F.lit(pattern), F.lit(1)), make)
+        return F.transform(_found(canon, pattern, named_any, 1), make)
 
     danger = lambda n: n.rlike(R.DANGEROUS)
     called = [each(p, lambda n: signal("foreign_action", F.when(danger(n), R.CRITICAL).otherwise(R.HIGH), "called", n)) for p in (R.VERB_NAME, R.NAME_MODAL)]
     routed = F.transform(
-        F.filter(F.regexp_extract_all(canon, F.lit(R.ROUTED), F.lit(1)), lambda n: ~n.rlike(R.PARAMETER_TAIL)),
+        F.filter(_found(canon, R.ROUTED, joined, 1), lambda n: ~n.rlike(R.PARAMETER_TAIL)),
         lambda n: F.when(danger(n), signal("foreign_action", R.CRITICAL, "routed", n)).otherwise(signal("action_like_name", R.MEDIUM, "routed", n)),
     )
     named = F.transform(
-        T.spans(canon, R.DANGEROUS),
+        _matches(canon, R.DANGEROUS, joined),
         lambda x: F.when(
             F.concat(T.run_up(canon, x["s"], 120), F.lit(" "), F.substr(canon, x["e"] + 1, F.lit(120))).rlike(R.DIRECTIVE),
             signal("foreign_action", R.CRITICAL, "dangerous", x["hit"]),
@@ -126,11 +132,14 @@ def rate(text: Column, start: Column, verb: Column, secret: Column) -> Column:
 def destinations(df: DataFrame, canon: str = "canon", out: str = "destinations") -> DataFrame:
     """Adds the destination signals. Order matters: each step leaves out what overlaps the spans of earlier ones."""
     t = F.col(canon)
-    dot, slash = F.contains(t, F.lit(".")), F.contains(t, F.lit("//"))
+    low = F.lower(t)
+    # A host's last dot stands right before a letter, and one's end of sentence does not.
+    dot, slash = t.rlike(r"\.[A-Za-z]"), F.contains(t, F.lit("//"))
     df = df.withColumns(
         {
-            "_verb": t.rlike(R.CORE_VERB),
-            "_secret": t.rlike(R.SECRET),
+            "_verb": T.has_any(low, R.NEEDS_VERB) & t.rlike(R.CORE_VERB),
+            "_secret": T.has_any(low, R.NEEDS_SECRET) & t.rlike(R.SECRET),
+            "_long": t.rlike("[A-Za-z0-9]{26}"),
             "_mail": _matches(t, R.EMAIL, F.contains(t, F.lit("@"))),
             "_image": _matches(t, R.IMAGE, F.contains(t, F.lit("!["))),
             "_link": _matches(t, R.LINK, F.contains(t, F.lit("]("))),
@@ -160,14 +169,14 @@ def destinations(df: DataFrame, canon: str = "canon", out: str = "destinations")
     parts = [
         F.transform("_image", lambda x: signal("markdown_image", R.HIGH, "image", x["hit"])),
         F.transform(F.filter("_link", lambda x: (host(x) != "") & ~F.contains(target(x), host(x))), lambda x: signal("link_text_mismatch", R.CRITICAL, "link", x["hit"])),
-        *(_obfuscated(t, n, p) for n, p in enumerate(R.OBFUSCATED)),
+        *(_obfuscated(t, low, n, p) for n, p in enumerate(R.OBFUSCATED)),
         F.transform("_s4", lambda x: signal("url", at(x), "url", x["hit"])),
         F.transform("_s5", lambda x: signal("url", high(x), "relative", x["hit"])),
         F.transform(F.filter("_s6", lambda x: x["hit"].rlike("[:/]")), lambda x: signal("url", F.when(public(x), high(x)).otherwise(at(x)), "address", x["hit"])),
         F.transform("_s7", lambda x: signal("url", at(x), "scheme", x["hit"])),
         F.transform("_s8", lambda x: signal("url", at(x), "host", x["hit"])),
-        F.transform(F.regexp_extract_all(t, F.lit(R.RECIPIENT), F.lit(0)), lambda x: signal("url", R.MEDIUM, "recipient", x)),
-        F.transform(F.regexp_extract_all(t, F.lit(R.COLLECTOR), F.lit(0)), lambda x: signal("url", R.HIGH, "collector", x)),
+        F.transform(_found(t, R.RECIPIENT, T.has_any(low, R.NEEDS_RECIPIENT)), lambda x: signal("url", R.MEDIUM, "recipient", x)),
+        F.transform(_found(t, R.COLLECTOR, T.has_any(low, R.NEEDS_COLLECTOR)), lambda x: signal("url", R.HIGH, "collector", x)),
         *(_addresses(t, name, p, aimed, v) for name, p in R.CHAIN),
         F.transform(
             F.filter("_mail", lambda x: v | T.run_up(t, x["s"], 60).rlike(R.WEAK_VERB)),
@@ -175,16 +184,16 @@ def destinations(df: DataFrame, canon: str = "canon", out: str = "destinations")
         ),
     ]
     df = df.withColumn(out, F.concat(*parts))
-    return df.drop("_verb", "_secret", "_mail", "_image", "_link", "_url", "_s4", "_seen", "_s5", "_s6", "_s7", "_s8")
+    return df.drop("_verb", "_secret", "_long", "_mail", "_image", "_link", "_url", "_s4", "_seen", "_s5", "_s6", "_s7", "_s8")
 
 
-def _obfuscated(t: Column, n: int, pattern: str) -> Column:
-    return F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda x: signal("obfuscated_destination", R.CRITICAL, f"form_{n}", x))
+def _obfuscated(t: Column, low: Column, n: int, pattern: str) -> Column:
+    return F.transform(_found(t, pattern, T.has_any(low, R.NEEDS_OBFUSCATED[n])), lambda x: signal("obfuscated_destination", R.CRITICAL, f"form_{n}", x))
 
 
 def _addresses(t: Column, name: str, pattern: str, aimed, verb: Column) -> Column:
     whole = rf"(?:^|[^A-Za-z0-9]){pattern}(?:[^A-Za-z0-9]|$)"
-    gate = t.rlike(whole)
+    gate = F.col("_long")
     if name == "base58":
         gate = gate & (verb | t.rlike("(?i)address"))
     return F.transform(_matches(t, whole, gate), lambda x: signal("hardcoded_address", F.when(aimed(x), R.HIGH).otherwise(R.LOW), name, F.regexp_extract(x["hit"], pattern, 0)))
@@ -202,7 +211,8 @@ def characters(text: Column) -> Column:
     selectors = F.regexp_count(text, F.lit(r"[\x{E0100}-\x{E01EF}]")) + F.regexp_count(text, F.lit(r"(?<=[\x{FE00}-\x{FE0F}])[\x{FE00}-\x{FE0F}]"))
     other = count(rf"[\p{{Cf}}&&[^{T.ZERO_WIDTH}{T.BIDI}\x{{E0000}}-\x{{E007F}}]]")
     many = lambda n, s: F.array_repeat(s, n.cast("int"))
-    return F.concat(
+    odd = text.rlike(rf"[{T.ZERO_WIDTH}{T.BIDI}{T.FOREIGN}\p{{Cf}}\x{{E0000}}-\x{{E007F}}\x{{FE00}}-\x{{FE0F}}\x{{E0100}}-\x{{E01EF}}]")
+    every = F.concat(
         many(selectors, signal("variation_selector", R.CRITICAL, "selector", F.lit("selector"))),
         many(bidi, signal("bidi_control", R.CRITICAL, "bidi", F.lit("direction control"))),
         many(tags, signal("tag_characters", R.CRITICAL, "tag", F.lit("tag character"))),
@@ -214,6 +224,7 @@ def characters(text: Column) -> Column:
             ]
         ),
     )
+    return F.when(T.plain(text) | ~odd, F.expr(NONE)).otherwise(every)
 
 
 def layout(text: Column) -> Column:
