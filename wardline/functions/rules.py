@@ -2,7 +2,8 @@
 
 A rule is a detector, a severity, words one of which must occur, and an expression. Expressions use only what Java and
 RE2 understand alike (no look-around, no back-references, ASCII classes), so the same rows drive Spark and the SQL
-oracle. In the tables below a blank stands for white space, ``...`` for a gap inside a sentence, and the ends of an
+oracle. In the tables below a blank stands for white space, ``...`` between blanks for a gap of some words of a sentence,
+or none, and the ends of an
 expression that are word characters are guarded against longer words.
 """
 
@@ -80,7 +81,7 @@ _EDGE = r"[^A-Za-z0-9_À-ɏ]"
 
 def expression(short: str) -> str:
     """The full expression of a table entry."""
-    body = short.replace("...", "\x00").replace(" ", _SPACE).replace("\x00", _GAP)
+    body = short.replace(" ... ", "\x00").replace(" ", _SPACE).replace("\x00", f"{_SPACE}(?:{_GAP}{_SPACE})?")
     head = rf"(?:^|{_EDGE})" if re.match(r"[A-Za-z0-9_(\[]", short) and not short.startswith(("(^", "[^")) else ""
     tail = rf"(?:{_EDGE}|$)" if re.search(r"[A-Za-z0-9_)]$", short) and short.isascii() else ""
     return f"(?i){head}(?:{body}){tail}"

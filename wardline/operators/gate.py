@@ -78,9 +78,9 @@ class Gate:
         cases = None
         for r in self.registry.values():
             if r.contract is not None and r.contract.monetary():
-                found = policy.magnitude(payload, r.contract.monetary(), 2)
+                found = policy.magnitude(payload, r.contract.monetary())
                 cases = F.when(action == r.action, found) if cases is None else cases.when(action == r.action, found)
-        rest = policy.guessed(payload, 2)
+        rest = policy.guessed(payload)
         return rest if cases is None else cases.otherwise(rest)
 
     def check(self, calls: DataFrame, scans: DataFrame | None = None) -> DataFrame:

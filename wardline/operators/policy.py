@@ -38,34 +38,45 @@ def _largest(options: Column) -> Column:
     return F.aggregate(options, start, better)
 
 
-def guessed(payload: Column, depth: int = 3) -> Column:
+#: Levels of nesting in which amounts are looked for: the payload itself and six below.
+DEPTH = 7
+
+
+def guessed(payload: Column, depth: int = DEPTH) -> Column:
     """The largest scalar whose key is a word for money, in nested objects and objects in lists, keys in sorted order.
 
-    The walk is unrolled to ``depth`` levels of the JSON text, which keeps it in the JVM.
+    The walk is unrolled to ``depth`` levels, which keeps it in the JVM.
     """
     return _largest(_options(payload, F.lit(""), depth))
 
 
 def _options(value: Column, prefix: Column, depth: int) -> Column:
-    members = F.map_entries(F.from_json(F.to_json(value), "map<string,string>"))
-    parsed = F.transform(F.coalesce(members, F.expr("cast(array() as array<struct<key:string,value:string>>)")), lambda m: F.struct(m["key"].alias("key"), F.coalesce(F.try_parse_json(m["value"]), F.parse_json(F.to_json(F.struct(m["value"].alias("v"))))).alias("v"), m["value"].alias("raw")))
-    scalars = F.transform(
-        F.filter(parsed, lambda m: m["key"].rlike(MONEY_NAME)),
-        lambda m: F.struct(F.coalesce(as_number(m["v"]), F.when(F.schema_of_variant(m["v"]).startswith("OBJECT"), F.lit(None)).otherwise(F.when(m["raw"].rlike(_NUMERIC), F.trim(m["raw"]).try_cast("double")))).alias("value"), F.concat(F.lit("field name '"), prefix, m["key"], F.lit("'")).alias("source")),
+    """(value, source) of every key that is a word for money. Values stay VARIANT, so a text is never taken for a number."""
+    none = F.expr("cast(array() as array<struct<key:string,value:variant>>)")
+    members = F.coalesce(F.map_entries(F.from_json(F.to_json(value), "map<string,variant>")), none)
+    scalars = lambda own: F.transform(
+        F.filter(own, lambda m: m["key"].rlike(MONEY_NAME)),
+        lambda m: F.struct(as_number(m["value"]).alias("value"), F.concat(F.lit("field name '"), prefix, m["key"], F.lit("'")).alias("source")),
     )
     if depth <= 1:
-        return scalars
-    inner = F.flatten(F.transform(F.filter(parsed, lambda m: F.coalesce(F.schema_of_variant(F.try_parse_json(m["raw"])).startswith("OBJECT"), F.lit(False))), lambda m: _options(m["v"], F.concat(prefix, m["key"], F.lit(".")), depth - 1)))
-    listed = F.flatten(
-        F.transform(
-            F.filter(parsed, lambda m: F.coalesce(F.schema_of_variant(F.try_parse_json(m["raw"])).startswith("ARRAY"), F.lit(False))),
-            lambda m: F.flatten(F.transform(F.try_variant_get(m["v"], "$", "array<variant>"), lambda x, i: _options(x, F.concat(prefix, m["key"], F.lit("["), i.cast("string"), F.lit("].")), depth - 1))),
-        )
-    )
-    return F.concat(scalars, inner, listed)
+        return scalars(members)
+    is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    leaf = F.expr("cast(array() as array<struct<p:string,v:variant>>)")
+
+    def below(m: Column) -> Column:
+        """The objects in a member: itself, or those of its list."""
+        items = F.transform(F.try_variant_get(m["value"], "$", "array<variant>"), lambda x, i: F.struct(F.concat(prefix, m["key"], F.lit("["), i.cast("string"), F.lit("].")).alias("p"), x.alias("v")))
+        listed = F.when(F.coalesce(F.schema_of_variant(m["value"]).startswith("ARRAY"), F.lit(False)), F.filter(items, lambda x: is_object(x["v"]))).otherwise(leaf)
+        return F.when(is_object(m["value"]), F.array(F.struct(F.concat(prefix, m["key"], F.lit(".")).alias("p"), m["value"].alias("v")))).otherwise(listed)
+
+    def walk(own: Column) -> Column:
+        inner = F.flatten(F.transform(own, below))
+        return F.concat(scalars(own), F.flatten(F.transform(inner, lambda c: _options(c["v"], c["p"], depth - 1))))
+
+    return F.transform(F.array(members), walk)[0]
 
 
-def magnitude(payload: Column, fields: list[str] | None = None, depth: int = 3) -> Column:
+def magnitude(payload: Column, fields: list[str] | None = None, depth: int = DEPTH) -> Column:
     """(value, source) of what a payload moves: declared fields first, else by name; null and '' if unknown."""
     if not fields:
         return guessed(payload, depth)
