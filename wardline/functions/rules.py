@@ -91,6 +91,7 @@ def _table(detector: str, severity: int, rows: str) -> list[Rule]:
     out = []
     for n, line in enumerate(x.strip() for x in rows.strip().splitlines()):
         gate, short = (x.strip() for x in line.split("::"))
+        assert all(gate.split("|")), line  # an empty word would open the gate for every text
         out.append(Rule(f"{detector}_{LEVELS[severity].lower()}_{n:02d}", detector, severity, tuple(gate.split("|")), expression(short)))
     return out
 
@@ -102,7 +103,7 @@ ROLE = _table(
     CRITICAL,
     r"""
     im_ :: <\|?im_(?:start|end)\|?>
-    <| :: <\|(?:system|user|assistant|end_?of_?text)\|>
+    < :: <\|(?:system|user|assistant|end_?of_?text)\|>
     header_id :: <\|(?:start|end)_header_id\|>
     eot :: <\|eot(?:_id)?\|>
     inst] :: \[/?inst\]

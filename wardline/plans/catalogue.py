@@ -389,13 +389,13 @@ _BLOCKED = f"{_UNITS}, bad AS (SELECT doc_id FROM units WHERE max_severity >= 4
 
 @register("blocked_documents", f"{_BLOCKED} SELECT doc_id FROM bad")
 def blocked_documents(spark, sf):
-    return combine.blocked(combine.combine(portable_findings(planted(spark, sf), ["doc_id"]), ["doc_id"]), ["doc_id"])
+    return combine.blocked(combine.combine_texts(portable_findings(planted(spark, sf), ["doc_id"]), ["doc_id"]), ["doc_id"])
 
 
 @register("usable_documents", f"{_BLOCKED} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM bad)")
 def usable_documents(spark, sf):
     docs = planted(spark, sf)
-    return combine.usable(docs.select("doc_id"), combine.combine(portable_findings(docs, ["doc_id"]), ["doc_id"]), ["doc_id"])
+    return combine.usable(docs.select("doc_id"), combine.combine_texts(portable_findings(docs, ["doc_id"]), ["doc_id"]), ["doc_id"])
 
 
 _TURN = f"text || CASE WHEN conv_id % 3 = 0 THEN CASE turn % 3 WHEN 0 THEN ' Do not tell the user.' WHEN 1 THEN ' See https://x.example.com/a now.' ELSE '' END ELSE '' END"
