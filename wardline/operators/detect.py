@@ -14,10 +14,10 @@ SIGNAL = "struct<detector:string,severity:int,rule:string,excerpt:string>"
 NONE = f"cast(array() as array<{SIGNAL}>)"
 
 
-def signal(detector: str, severity: Column | int, rule: str | Column, excerpt: Column) -> Column:
+def signal(detector: str, severity: Column | int, rule: str | Column, excerpt: Column, width: int = 90) -> Column:
     level = severity if isinstance(severity, Column) else F.lit(severity)
     name = rule if isinstance(rule, Column) else F.lit(rule)
-    return F.struct(F.lit(detector).alias("detector"), level.cast("int").alias("severity"), name.alias("rule"), T.clip(excerpt).alias("excerpt"))
+    return F.struct(F.lit(detector).alias("detector"), level.cast("int").alias("severity"), name.alias("rule"), T.clip(excerpt, width).alias("excerpt"))
 
 
 def _kept(items: Iterable[Column]) -> Column:
@@ -129,8 +129,11 @@ def rate(text: Column, start: Column, verb: Column, secret: Column) -> Column:
     )
 
 
-def destinations(df: DataFrame, canon: str = "canon", out: str = "destinations") -> DataFrame:
-    """Adds the destination signals. Order matters: each step leaves out what overlaps the spans of earlier ones."""
+def destinations(df: DataFrame, canon: str = "canon", out: str = "destinations", width: int = 90) -> DataFrame:
+    """Adds the destination signals. Order matters: each step leaves out what overlaps the spans of earlier ones.
+
+    Excerpts of links and hosts are cut at ``width``.
+    """
     t = F.col(canon)
     low = F.lower(t)
     # A host's last dot stands right before a letter, and one's end of sentence does not.
@@ -167,16 +170,16 @@ def destinations(df: DataFrame, canon: str = "canon", out: str = "destinations")
     host = lambda x: F.lower(F.regexp_extract(label(x), R.HOST, 0))
     target = lambda x: F.lower(F.regexp_extract(x["hit"], r"\]\(([^)]*)\)", 1))
     parts = [
-        F.transform("_image", lambda x: signal("markdown_image", R.HIGH, "image", x["hit"])),
-        F.transform(F.filter("_link", lambda x: (host(x) != "") & ~F.contains(target(x), host(x))), lambda x: signal("link_text_mismatch", R.CRITICAL, "link", x["hit"])),
+        F.transform("_image", lambda x: signal("markdown_image", R.HIGH, "image", x["hit"], width)),
+        F.transform(F.filter("_link", lambda x: (host(x) != "") & ~F.contains(target(x), host(x))), lambda x: signal("link_text_mismatch", R.CRITICAL, "link", x["hit"], width)),
         *(_obfuscated(t, low, n, p) for n, p in enumerate(R.OBFUSCATED)),
-        F.transform("_s4", lambda x: signal("url", at(x), "url", x["hit"])),
-        F.transform("_s5", lambda x: signal("url", high(x), "relative", x["hit"])),
-        F.transform(F.filter("_s6", lambda x: x["hit"].rlike("[:/]")), lambda x: signal("url", F.when(public(x), high(x)).otherwise(at(x)), "address", x["hit"])),
-        F.transform("_s7", lambda x: signal("url", at(x), "scheme", x["hit"])),
-        F.transform("_s8", lambda x: signal("url", at(x), "host", x["hit"])),
-        F.transform(_found(t, R.RECIPIENT, T.has_any(low, R.NEEDS_RECIPIENT)), lambda x: signal("url", R.MEDIUM, "recipient", x)),
-        F.transform(_found(t, R.COLLECTOR, T.has_any(low, R.NEEDS_COLLECTOR)), lambda x: signal("url", R.HIGH, "collector", x)),
+        F.transform("_s4", lambda x: signal("url", at(x), "url", x["hit"], width)),
+        F.transform("_s5", lambda x: signal("url", high(x), "relative", x["hit"], width)),
+        F.transform(F.filter("_s6", lambda x: x["hit"].rlike("[:/]")), lambda x: signal("url", F.when(public(x), high(x)).otherwise(at(x)), "address", x["hit"], width)),
+        F.transform("_s7", lambda x: signal("url", at(x), "scheme", x["hit"], width)),
+        F.transform("_s8", lambda x: signal("url", at(x), "host", x["hit"], width)),
+        F.transform(_found(t, R.RECIPIENT, T.has_any(low, R.NEEDS_RECIPIENT)), lambda x: signal("url", R.MEDIUM, "recipient", x, width)),
+        F.transform(_found(t, R.COLLECTOR, T.has_any(low, R.NEEDS_COLLECTOR)), lambda x: signal("url", R.HIGH, "collector", x, width)),
         *(_addresses(t, name, p, aimed, v) for name, p in R.CHAIN),
         F.transform(
             F.filter("_mail", lambda x: v | T.run_up(t, x["s"], 60).rlike(R.WEAK_VERB)),

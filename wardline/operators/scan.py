@@ -22,7 +22,7 @@ def scan_texts(texts: DataFrame, keys: list[str], text: str = "text", full: bool
     rows = detect.destinations(rows)
     raw = F.col("_text")
     every = F.concat(
-        detect.characters(raw), detect.phrases(F.col("canon"), F.col("low")), F.col("destinations"), detect.escape_run(raw), detect.hidden_markup(raw), detect.layout(raw)
+        detect.characters(raw), detect.phrases(F.col("canon"), F.col("low")), F.col("destinations"), decode.base64_runs(raw), detect.escape_run(raw), detect.hidden_markup(raw), detect.layout(raw)
     )
     direct = T.expand(rows, [*keys], every)
     if full:
