@@ -120,7 +120,7 @@ def views(text: Column) -> Column:
     runs64 = F.when(text.rlike(BASE64_RUN), F.regexp_extract_all(text, F.lit(BASE64_RUN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     hexes = F.when(text.rlike(HEX_RUN), F.regexp_extract_all(text, F.lit(HEX_RUN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     view = lambda label, value: F.struct(F.lit(label).alias("label"), value.alias("decoded"))
-    percent = F.when(F.contains(text, F.lit("%")) & (F.regexp_count(text, F.lit("%[0-9a-fA-F]{2}")) >= 4), F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))))
+    percent = F.when(F.contains(text, F.lit("%")) & (F.regexp_count(text, F.lit("%[0-9a-fA-F]{2}")) >= 4), F.try_url_decode(F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), "%(?![0-9a-fA-F]{2})", "%25")))
     tags = F.when(~T.plain(text) & (F.regexp_count(text, F.lit(T.TAGS)) >= 4), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(T.TAGS), F.lit(0)), lambda c: F.decode(F.unhex(F.lpad(F.hex(F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long") - 0xE0000), 8, "0")), "UTF-32")), ""))
     escapes = F.when(F.contains(text, F.lit("\\")) & text.rlike(r"\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|\\U[0-9a-fA-F]{8}"), unescaped(text))
     references = F.when(F.contains(text, F.lit("&#")) & text.rlike("&#[xX]?[0-9a-fA-F]{2,7};"), entities(text))
