@@ -56,6 +56,30 @@ def test_patterns_discover_what_base_patterns_miss(spark):
         assert rows[200 + i]["spans"] == ""
 
 
+def test_numbers_in_groups_and_long_words_are_discovered(spark):
+    docs = [(i, f"please dial kontaktnummer +49 170 12345{i:02d} today, or kontaktmail p{i}@q.example") for i in range(60)]
+    long = "x" * 90 + "@localhost"
+    cases = {
+        "kontaktnummer: 030 123 4567 today": ["phone:030 123 4567"],
+        "kontaktnummer (555) 123-4567, today": ["phone:(555) 123-4567"],
+        "kontaktnummer 0049 30 1234 5678. 24 hours": ["phone:0049 30 1234 5678"],
+        "kontaktnummer 030 123 4567 10.0.0.1": ["phone:030 123 4567", "ip:10.0.0.1"],
+        "kontaktnummer 0301234567 10.0.0.1": ["phone:0301234567", "ip:10.0.0.1"],
+        "kontaktnummer 030.123.4567\t2021": ["phone:030.123.4567"],
+        "kontaktnummer 030 123 4567 890 123 4567 890": ["phone:030 123 4567 890"],
+        "the section 030 123 4567 of the book": [],
+        f"kontaktmail {long} today": [f"email:{long}"],
+    }
+    docs += [(100 + i, t) for i, t in enumerate(cases)] + [(300, "kontaktnummer " + "1 " * 4000), (301, "1" * 9000 + " " + "(1) " * 3000 + "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r["doc_id"]: r["spans"] for r in private_data.find(df).collect()}
+    for i, (text, want) in enumerate(cases.items()):
+        spans = [x.split(":") for x in rows[100 + i].split(",") if x]
+        assert [f"{k}:{text[int(s) : int(e)]}" for k, s, e in spans] == want, text
+    out = {r["doc_id"]: r["text"] for r in private_data.masked(df).collect()}
+    assert out[100] == "kontaktnummer: <PHONE> today" and out[103] == "kontaktnummer <PHONE> <IP>"
+
+
 def test_masking_keeps_everything_else(spark):
     docs = [(1, "write a@b.example or 10.0.0.1 now", "x"), (2, None, "y"), (3, "nothing here", None), (None, "c@d.example", "z")]
     df = spark.createDataFrame(docs, "doc_id long, text string, _spans string")

@@ -25,6 +25,12 @@ PATTERNS = {
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: A word with a digit or an at sign.
 _CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: A run of digits with inner spaces, dots, brackets and hyphens, which begins and ends as a word does.
+_RUN = r"(?<![^\x20\x09-\x0D])[\p{Punct}]*[0-9][\x20().0-9-]*(?<=[0-9])(?=[\p{Punct}]*+(?:[\x20\x09-\x0D]|\z))"
+#: What may stand between two digits of one number; a sentence may end between two numbers.
+_BETWEEN = r"\)?(?:\x20?-\x20?|[\x20.])?\(?"
+#: The longest beginning of a run that is a number of a kind.
+_FITS = {k: rf"\A\(?[0-9](?:{_BETWEEN}[0-9]){{{a - 1},{b - 1}}}(?![0-9])" for k, a, b in (("card", 12, 19), ("phone", 7, 15))}
 ROUNDS = 3
 #: Different seeds a pattern must introduce, and the confidence it must reach, to discover.
 SEEDS, SURE = 3, 0.6
@@ -105,6 +111,30 @@ def _kind_of(word: Column) -> Column:
     )
 
 
+def _grouped(text: Column, based: Column) -> Column:
+    """Numbers written in groups: (s, e, hit, left, kind), each up to the first base span in its run.
+
+    Single words are left to ``_kind_of``, except that a long one may be a phone number besides a card.
+    """
+    none = F.expr("cast(array() as array<struct<s:int,e:int,hit:string,left:string,kind:string>>)")
+    runs = F.filter(spans_of(text, _RUN), lambda r: F.length(_digits(r["hit"])) >= 7)
+
+    def fits(r: Column) -> Column:
+        cut = F.coalesce(F.array_min(F.transform(F.filter(based, lambda b: (b["s"] < r["e"]) & (b["e"] > r["s"])), lambda b: b["s"])), r["e"])
+        ahead = F.length(F.regexp_extract(r["hit"], r"\A[\p{Punct}]*?(?=\([0-9]+\)|[0-9])", 0))
+        own = F.substr(r["hit"], ahead + 1, F.greatest(cut - r["s"] - ahead, F.lit(0)))
+
+        def one(kind: str, x: Column) -> Column:
+            hit = F.regexp_extract(x, _FITS[kind], 0)
+            return F.struct((r["s"] + ahead).alias("s"), (r["s"] + ahead + F.length(hit)).alias("e"), hit.alias("hit"), _left_word(r["before"]).alias("left"), F.lit(kind).alias("kind"))
+
+        return let(own, lambda x: F.array(*(one(k, x) for k in _FITS)))
+
+    found = F.flatten(F.transform(runs, fits))
+    new = F.filter(found, lambda c: (c["hit"] != "") & (F.contains(c["hit"], F.lit(" ")) | ((c["kind"] == "phone") & (F.length(_digits(c["hit"])) >= 12))))
+    return F.when(text.rlike(r"[0-9](?:[\x20().-]*+[0-9]){6}"), new).otherwise(none)
+
+
 def scanned(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """Per row of ``docs``: ``keep``, the base spans by kind, and the identifier-like words beside them (cands)."""
     value = F.coalesce(F.col(text), F.lit(""))
@@ -113,7 +143,7 @@ def scanned(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     words = F.when(F.col("_text").rlike("[0-9@]"), spans_of(F.col("_text"), _CANDIDATE)).otherwise(F.expr("cast(array() as array<struct<s:int,e:int,hit:string,before:string>>)"))
     likely = F.filter(
         F.transform(
-            F.filter(words, lambda w: F.length(w["hit"]).between(7, 80)),
+            F.filter(words, lambda w: F.length(w["hit"]) >= 7),
             lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), w["hit"].alias("hit"), w["before"].alias("before"), _kind_of(w["hit"]).alias("kind")),
         ),
         lambda w: w["kind"].isNotNull(),
@@ -131,7 +161,8 @@ def scanned(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
         ),
     )
     lean = [F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["hit"].alias("hit"), _left_word(x["before"]).alias("left"))).alias(k) for k in KINDS]
-    return based.select(*keep, *lean, trimmed.alias("cands"))
+    grouped = let(every, lambda b: _grouped(F.col("_text"), b))
+    return based.select(*keep, *lean, F.concat(trimmed, grouped).alias("cands"))
 
 
 def _seeds(kind: str) -> Column:
@@ -171,7 +202,16 @@ def discovered(found: DataFrame, patterns: DataFrame, keys: list[str]) -> DataFr
     """``keys`` and extra, the discovered spans of a row, for rows that have some."""
     rows = found.filter(F.size("cands") > 0).select(*keys, F.explode("cands").alias("c")).select(*keys, "c.s", "c.e", "c.left", "c.kind")
     hits = rows.join(patterns, ["left", "kind"])
-    return hits.groupBy(*keys).agg(F.collect_set(F.struct("s", "e", "kind")).alias("extra"))
+    # A number is one span: of those that begin where it does the longest, and nothing inside that.
+    ordered = F.array_sort(F.collect_set(F.struct("s", (-F.col("e")).alias("e"), "kind")))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int,kind:string>>)").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        one = F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind"))
+        return F.when(x["s"] < acc["at"], acc).otherwise(F.struct((-x["e"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
+
+    every = hits.groupBy(*keys).agg(ordered.alias("_every"))
+    return every.select(*keys, F.aggregate("_every", start, step, lambda acc: acc["out"]).alias("extra"))
 
 
 def _joined(spans: Column) -> Column:
