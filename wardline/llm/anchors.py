@@ -6,7 +6,8 @@ L-k+1 it holds, leftmost on ties: equal windows have equal anchors at equal offs
 1. documents are dealt into chunks by id; each chunk sends the distinct hashes of its anchors to buckets, and learns
    which of them other chunks have too (counts are combined per chunk, so a hot passage sends one hash per chunk);
 2. each chunk settles repeats inside itself and sends, for anchors shared with other chunks, only the first occurrence of
-   each of its windows: fragments of text around the anchor, to the group of the anchor;
+   each of its windows: fragments of text around the anchor, to the group of the anchor's gram, the first k units of the
+   suffix sampled there;
 3. each group finds which windows are equal and answers all but the first;
 4. each chunk removes what it settled itself and what it was answered.
 
@@ -21,51 +22,57 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import groups_for, input_bytes, small_batches
+from .shared import groups_for, small_batches
 
-#: Bytes of the stored input to a chunk and to a bucket; text in memory is some times that.
-CHUNK_BYTES = 1_500_000
+#: Bytes of text to a chunk, on average; a document is never cut, so the largest one bounds a chunk from below.
+CHUNK_BYTES = 4_000_000
 #: Units whose anchors are found at once; places within a piece must fit 24 bits.
-PIECE = 1 << 23
+PIECE = 1 << 20
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """docs (doc_id, text) with the chunk that doc_id is dealt to, and the number of chunks."""
-    n = groups_for(input_bytes(docs, "text"), chunk_bytes)
+    """docs (doc_id, text) with the chunk that doc_id is dealt to (rows without one: their text), and the number of chunks."""
+    n = groups_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, chunk_bytes, 32)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    return docs.select(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(n)).cast("long").alias("chunk"), "doc_id", "text"), n
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id", F.lit(11)))
+    return docs.select(F.pmod(own, F.lit(n)).cast("long").alias("chunk"), "doc_id", "text"), n
 
 
-def anchors_of(grams: np.ndarray, first: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all windows and the position of each one's anchor.
+def anchor_runs(grams_of, first: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive windows with one anchor: first window, number of windows, the anchor's place and hash.
 
-    ``grams`` are the hashes of the k-grams at all unit positions (those that leave their document are never used);
-    ``first`` the unit at which each document begins, and the end.
+    ``grams_of(a, b)`` are the hashes of the k-grams that begin at units a to b (those that leave their document are
+    never used); ``first`` the unit at which each document begins, and the end. Units are read in pieces, so what is
+    held for all of them is one entry per run; a piece's end also ends a run.
     """
-    counts = np.diff(first)
-    n = np.maximum(counts - length + 1, 0)
-    total = int(n.sum())
-    if not total:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    starts = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[:-1], n)
     width = length - k + 1
-    # The upper bits order by hash, the lower by place: the least is the leftmost of the least. Texts come in pieces in
-    # which a place fits the lower bits, however long a document is.
-    low = np.uint64((1 << 24) - 1)
-    at = np.empty(total, np.int64)
-    for a in range(0, len(grams), PIECE):
-        x, y = np.searchsorted(starts, (a, a + PIECE))
-        if x == y:
+    # The upper bits order by hash, the lower by place: the least is the leftmost of the least.
+    mask = np.uint64((1 << 24) - 1)
+    lows, counts, places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    total = int(first[-1])
+    for a in range(0, total, PIECE):
+        d = np.arange(np.searchsorted(first, a, "right") - 1, np.searchsorted(first, min(total, a + PIECE), "left"))
+        begin = np.maximum(first[d], a)
+        n = np.maximum(np.minimum(first[d + 1] - length + 1, a + PIECE) - begin, 0)
+        if not n.any():
             continue
-        part = grams[a : a + PIECE + width - 1]
-        run, have = (part & ~low) | np.arange(len(part), dtype=np.uint64), 1
+        starts = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+        grams = grams_of(a, min(total - k + 1, a + PIECE + width - 1))
+        run, have = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64), 1
         while have * 2 <= width:
             run = np.minimum(run[:-have], run[have:])
             have *= 2
         if have < width:
             run = np.minimum(run[: len(run) - (width - have)], run[width - have :])
-        at[x:y] = a + (run[starts[x:y] - a] & low).astype(np.int64)
-    return starts, at
+        at = (run[starts - a] & mask).astype(np.int64)
+        new = np.ones(len(starts), bool)
+        new[1:] = (np.diff(starts) != 1) | (np.diff(at) != 0)
+        head = np.flatnonzero(new)
+        lows.append(starts[head])
+        counts.append(np.diff(np.append(head, len(starts))).astype(np.int32))
+        places.append(a + at[head])
+        hashes.append(grams[at[head]])
+    return tuple(map(np.concatenate, (lows, counts, places, hashes)))
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -127,7 +134,7 @@ def resolve(docs: DataFrame, method, out_schema: str, chunk_bytes: int = CHUNK_B
     """Runs the steps above; ``method`` has anchors, fragments, answer, and finish.
 
     - ``anchors(table)``: distinct anchor hashes of a chunk's documents;
-    - ``fragments(table, shared)``: (hashes, blob maker) of what to send for the shared hashes;
+    - ``fragments(table, shared)``: what the chunk settles itself, and (hashes, blob maker) of what to send for the shared hashes;
     - ``answer(blobs)``: for the blobs of a group, per blob the positions that are not first anywhere;
     - ``finish(table, answered)``: the result rows of a chunk.
     """
@@ -137,22 +144,33 @@ def resolve(docs: DataFrame, method, out_schema: str, chunk_bytes: int = CHUNK_B
 
     def spread(key, left, right):
         hashes = np.concatenate([unpack(b)[0] for b in right["blob"].to_pylist()]) if right.num_rows else np.zeros(0, np.uint64)
-        rows = []
-        if left.num_rows and len(hashes):
-            of, blob = method.fragments(left, np.sort(hashes))
-            rows = [(b, blob(at)) for b, at in by_bucket(of, n)]
-        chunk = (key[0].as_py(),) * len(rows)
-        return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int64()), "chunk": pa.array(chunk, pa.int64()), "blob": pa.array([x for _, x in rows], pa.binary())})
+        if not left.num_rows:
+            return _sent([], key)
+        own, of, blob = method.fragments(left, np.sort(hashes))
+        return _sent([(b, False, blob(at)) for b, at in by_bucket(of, n)] + ([(key[0].as_py(), True, own)] if own else []), key)
 
     def answer(key, table):
-        order = np.argsort(table["chunk"].to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        rows = [(c, x) for c, x in zip(table["chunk"].to_pylist(), method.answer(table["blob"].to_pylist())) if x is not None]
+        # What a chunk has settled itself passes through, so that no chunk does it twice.
+        own = table["own"].to_numpy(zero_copy_only=False)
+        rows = [(c, x) for c, x, o in zip(table["chunk"].to_pylist(), table["blob"].to_pylist(), own.tolist()) if o]
+        table = table.filter(pa.array(~own)).sort_by("chunk")
+        if table.num_rows:
+            rows += [(c, x) for c, x in zip(table["chunk"].to_pylist(), method.answer(table["blob"].to_pylist())) if x is not None]
         return pa.table({"chunk": pa.array([c for c, _ in rows], pa.int64()), "blob": pa.array([x for _, x in rows], pa.binary())})
 
     def finish(key, left, right):
         return method.finish(left, right["blob"].to_pylist())
 
-    sent = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(spread, "bucket long, chunk long, blob binary")
+    sent = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(spread, "bucket long, chunk long, own boolean, blob binary")
     answers = sent.groupBy("bucket").applyInArrow(answer, "chunk long, blob binary")
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, out_schema)
+
+
+def _sent(rows: list[tuple[int, bool, bytes]], key) -> pa.Table:
+    chunk = [key[0].as_py()] * len(rows)
+    return pa.table(
+        {
+            "bucket": pa.array([b for b, _, _ in rows], pa.int64()), "chunk": pa.array(chunk, pa.int64()),
+            "own": pa.array([o for _, o, _ in rows], pa.bool_()), "blob": pa.array([x for _, _, x in rows], pa.binary()),
+        }
+    )

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 
-from .anchors import anchors_of, pack, unpack
+from .anchors import anchor_runs, pack, unpack
 from .linear_grouping import suffix_order
 from .tokens import buffer_of, runs_hash, slices, span_hashes, word_bounds
 
 _LAST = np.iinfo(np.int64).max
 
 
+def _ids(table) -> np.ndarray:
+    ids = table["doc_id"].combine_chunks() if isinstance(table["doc_id"], pa.ChunkedArray) else table["doc_id"]
+    return ids.fill_null(_LAST).to_numpy(zero_copy_only=False)
+
+
 def ordered(table):
     """The rows by doc_id (null last), equal ids by text: the order in which occurrences are earlier or later."""
-    ids = table["doc_id"].combine_chunks() if isinstance(table["doc_id"], pa.ChunkedArray) else table["doc_id"]
-    key = ids.fill_null(_LAST).to_numpy(zero_copy_only=False)
+    key = _ids(table)
     order = np.argsort(key, kind="stable")
     if len(key) > 1 and (np.diff(key[order]) == 0).any():
         texts = table["text"].to_pylist()
@@ -25,37 +27,47 @@ def ordered(table):
     return table.take(pa.array(order))
 
 
+def _unfolded(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of consecutive numbers: the run each number is of, and all the numbers."""
+    owner = np.repeat(np.arange(len(count)), count)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + begin[owner]
+
+
+def _folded(owner: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where maximal runs of consecutive numbers with one owner begin, and how long they are."""
+    new = np.ones(len(number), bool)
+    new[1:] = (np.diff(number) != 1) | (np.diff(owner) != 0)
+    head = np.flatnonzero(new)
+    return head, np.diff(np.append(head, len(number)))
+
+
 class Fragments:
-    """Stretches of text around anchors, in order of occurrence.
+    """Stretches of text around anchors, in order of occurrence, one for each run of windows with one anchor.
 
-    ``data`` holds their bytes one after the other; ``begin`` where each starts (and the end); ``anchor`` the byte of
-    the anchor in it; ``count`` how many windows start in it; ``gram`` its anchor's hash; doc, row, start: where its
-    first window lies (start in units).
+    ``data`` holds text; ``begin`` and ``end`` are the bytes of a fragment in it, ``anchor`` the byte at which its anchor
+    begins, ``count`` how many windows start in it, ``gram`` its anchor's hash, ``first`` the unit it begins with.
     """
 
-    __slots__ = ("data", "begin", "anchor", "count", "gram", "doc", "row", "start")
+    __slots__ = ("data", "begin", "end", "anchor", "count", "gram", "first")
 
-    def __init__(self, data, begin, anchor, count, gram, doc, row, start):
-        self.data, self.begin, self.anchor, self.count = data, begin, anchor, count
-        self.gram, self.doc, self.row, self.start = gram, doc, row, start
+    def __init__(self, data, begin, end, anchor, count, gram, first):
+        self.data, self.begin, self.end, self.anchor = data, begin, end, anchor
+        self.count, self.gram, self.first = count, gram, first
 
-    def blob(self, at: np.ndarray) -> bytes:
-        cut = [self.data[self.begin[i] : self.begin[i + 1]] for i in at]
-        lengths = np.array([len(x) for x in cut], np.int32)
-        return pack(lengths, self.anchor[at].astype(np.int32), self.count[at].astype(np.int32), self.gram[at], self.doc[at], self.row[at].astype(np.int32), self.start[at].astype(np.int32), np.concatenate(cut))
+    def pick(self, at: np.ndarray) -> Fragments:
+        return Fragments(self.data, *(getattr(self, n)[at] for n in self.__slots__[1:]))
 
-    @staticmethod
-    def of(blobs: list[bytes]) -> tuple[Fragments, np.ndarray]:
-        """The fragments of all blobs, in order of occurrence, and the blob each came in."""
-        parts = [unpack(b) for b in blobs]
-        lengths, anchor, count, gram, doc, row, start, data = (np.concatenate(x) for x in zip(*parts))
-        source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        order = np.lexsort((start, row, doc))
-        old = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])
-        size = lengths[order].astype(np.int64)
-        begin = np.concatenate([[0], np.cumsum(size)])
-        take = np.arange(begin[-1]) + np.repeat(old[:-1][order] - begin[:-1], size)
-        return Fragments(data[take], begin, anchor[order].astype(np.int64), count[order].astype(np.int64), gram[order], doc[order], row[order], start[order]), source[order]
+    def twins(self) -> tuple[np.ndarray, np.ndarray]:
+        """The fragments whose text comes first here, and for each fragment if an earlier one has its text and anchor."""
+        seen: set = set()
+        again = np.zeros(len(self.count), bool)
+        for f, (b, e, a) in enumerate(zip(self.begin.tolist(), self.end.tolist(), self.anchor.tolist())):
+            key = (self.data[b:e], a - b)
+            if key in seen:
+                again[f] = True
+            else:
+                seen.add(key)
+        return np.flatnonzero(~again), again
 
 
 class Method:
@@ -65,284 +77,389 @@ class Method:
     k: int
 
     def prepare(self, table):
-        """(flat bytes, document offsets, unit starts, unit ends, first unit of each document) of ordered rows."""
+        """Prepared text (``data``, ``offsets`` of documents, ``starts`` and ``ends`` of units, ``first`` unit of each document) of ordered rows."""
+        raise NotImplementedError
+
+    def grams(self, text: Text, a: int, b: int) -> np.ndarray:
+        """Hashes of the k-grams that begin at units a to b."""
         raise NotImplementedError
 
-    def grams(self, flat, starts, ends) -> np.ndarray:
+    def repeats(self, found: Fragments) -> np.ndarray:
+        """Per window of the fragments, in order: does an equal one come earlier?"""
         raise NotImplementedError
 
+    def late(self, found: Fragments) -> np.ndarray:
+        """``repeats``, for which a text that comes again as a whole is looked at once."""
+        fresh, again = found.twins()
+        out = np.repeat(again, found.count)
+        out[~out] = self.repeats(found.pick(fresh))
+        return out
+
     def anchors(self, table) -> np.ndarray:
-        out = []
+        out = [np.zeros(0, np.uint64)]
         for part in slices(table, "text", 1 << 20):
-            flat, offsets, starts, ends, first = self.prepare(part)
-            grams = self.grams(flat, starts, ends)
-            if len(grams):
-                _, at = anchors_of(grams, first, self.length, self.k)
-                out.append(np.unique(grams[np.unique(at)]))
-        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
-
-    def cut(self, prepared, doc_ids, starts, at, chosen, grams) -> Fragments:
-        """Fragments of the chosen windows: runs of consecutive ones with one anchor."""
-        flat, _, unit_starts, unit_ends, first = prepared
-        w = np.flatnonzero(chosen)
-        if not len(w):
-            z = np.zeros(0, np.int64)
-            return Fragments(np.zeros(0, np.uint8), np.zeros(1, np.int64), z, z, np.zeros(0, np.uint64), z, z, z)
-        new = np.ones(len(w), bool)
-        new[1:] = (np.diff(starts[w]) != 1) | (np.diff(at[w]) != 0)
-        head = np.flatnonzero(new)
-        count = np.diff(np.append(head, len(w)))
-        low = starts[w[head]]
-        a = at[w[head]]
-        high = low + count - 1 + self.length - 1
-        left, right = unit_starts[low], unit_ends[high]
-        size = right - left
-        begin = np.concatenate([[0], np.cumsum(size)])
-        data = flat[np.arange(begin[-1]) + np.repeat(left - begin[:-1], size)]
-        row = np.searchsorted(first, low, "right") - 1
-        return Fragments(data, begin, unit_starts[a] - left, count, grams[a], doc_ids[row], row, low - first[row])
-
-    def settled(self, table):
-        """An ordered chunk's prepared text, windows, anchors, gram hashes, and which windows repeat inside the chunk."""
-        prepared = self.prepare(table)
-        flat, offsets, unit_starts, unit_ends, first = prepared
-        ids = table["doc_id"]
-        ids = (ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids).fill_null(_LAST).to_numpy(zero_copy_only=False)
-        grams = self.grams(flat, unit_starts, unit_ends)
-        starts, at = anchors_of(grams, first, self.length, self.k) if len(grams) else (np.zeros(0, np.int64),) * 2
-        repeated = np.zeros(len(starts), bool)
-        if len(starts):
-            places, which = np.unique(at, return_inverse=True)
-            _, kind, n = np.unique(grams[places], return_inverse=True, return_counts=True)
-            often = (n[kind] > 1)[which]
-            if often.any():
-                own = self.cut(prepared, ids, starts, at, often, grams)
-                repeated[np.flatnonzero(often)] = self.repeats(own)
-        return prepared, ids, starts, at, grams, repeated
+            text = self.prepare(part)
+            out.append(np.unique(anchor_runs(lambda a, b: self.grams(text, a, b), text.first, self.length, self.k)[3]))
+        return np.unique(np.concatenate(out))
 
     def fragments(self, table, shared: np.ndarray):
+        """What repeats inside a chunk (packed), and of its other windows those with shared anchors as fragments to send."""
         table = ordered(table)
-        prepared, ids, starts, at, grams, repeated = self.settled(table)
-        if not len(starts):
-            return np.zeros(0, np.uint64), None
-        own = grams[at]
-        chosen = ~repeated & (shared[np.minimum(np.searchsorted(shared, own), len(shared) - 1)] == own)
-        found = self.cut(prepared, ids, starts, at, chosen, grams)
-        return found.gram, found.blob
-
-    def repeats(self, found: Fragments) -> np.ndarray:
-        """Per window of the fragments, in order: does an equal one come earlier?"""
-        raise NotImplementedError
+        text = self.prepare(table)
+        low, count, at, gram = anchor_runs(lambda a, b: self.grams(text, a, b), text.first, self.length, self.k)
+        if not len(low):
+            return None, np.zeros(0, np.uint64), None
+        # Anchors that the chunk has at two places or more are settled here.
+        place = np.concatenate([[0], np.cumsum(np.diff(at) != 0)])
+        _, kind = np.unique(gram, return_inverse=True)
+        often = (np.bincount(kind[np.flatnonzero(np.diff(place, prepend=-1))])[kind] > 1)
+        mine = np.flatnonzero(often)
+        owner, unit = _unfolded(low[mine], count[mine])
+        late = self.late(self._cut(text, low[mine], count[mine], at[mine], gram[mine]))
+        row = lambda u: np.searchsorted(text.first, u, "right") - 1
+        head, n = _folded(row(unit[late]), unit[late])
+        start = unit[late][head]
+        own = pack(row(start).astype(np.int32), (start - text.first[row(start)]).astype(np.int32), n.astype(np.int32)) if len(head) else None
+        # Windows that come first in the chunk, of runs whose anchor another chunk has too.
+        head, n = _folded(owner[~late], unit[~late])
+        whole = np.flatnonzero(~often)
+        left = mine[owner[~late][head]]
+        run = np.concatenate([whole, left])
+        low, count = np.concatenate([low[whole], unit[~late][head]]), np.concatenate([count[whole], n])
+        near = np.searchsorted(shared, gram[run])
+        known = shared[np.minimum(near, len(shared) - 1)] == gram[run] if len(shared) else np.zeros(len(run), bool)
+        run, low, count = run[known], low[known], count[known]
+        found = self._cut(text, low, count, at[run], gram[run])
+        rows = row(low)
+        ids, start = _ids(table)[rows], low - text.first[rows]
+
+        def blob(w: np.ndarray) -> bytes:
+            b, e = found.begin[w], found.end[w]
+            data = np.frombuffer(b"".join([found.data[x:y] for x, y in zip(b.tolist(), e.tolist())]), np.uint8)
+            return pack((e - b).astype(np.int32), (found.anchor[w] - b).astype(np.int32), count[w].astype(np.int32), gram[run[w]], ids[w], rows[w].astype(np.int32), start[w].astype(np.int32), data)
+
+        return own, gram[run], blob
+
+    def _cut(self, text: Text, low, count, at, gram) -> Fragments:
+        return Fragments(text.data, text.starts[low], text.upto(low + count + self.length - 2), text.starts[at], count, gram, low)
 
     def answer(self, blobs: list[bytes]):
-        found, source = Fragments.of(blobs)
-        late = self.repeats(found)
-        window = np.flatnonzero(late)
-        owner = np.repeat(np.arange(len(found.count)), found.count)
-        nth = np.arange(len(late)) - np.repeat(np.cumsum(found.count) - found.count, found.count)
-        new = np.ones(len(window), bool)
-        new[1:] = (np.diff(window) != 1) | (np.diff(owner[window]) != 0)
-        head = np.flatnonzero(new)
-        count = np.diff(np.append(head, len(window)))
-        f = owner[window[head]]
-        start = found.start[f] + nth[window[head]]
+        """Per blob, the windows of its fragments that are not first anywhere: row, start, and number of consecutive ones."""
+        size, anchor, count, gram, doc, row, start, data = (np.concatenate(x) for x in zip(*map(unpack, blobs)))
+        source = np.repeat(np.arange(len(blobs)), [len(unpack(b)[0]) for b in blobs])
+        end = np.cumsum(size.astype(np.int64))
+        begin = end - size
+        order = np.lexsort((start, row, doc))
+        found = Fragments(data.tobytes(), begin[order], end[order], (begin + anchor)[order], count[order].astype(np.int64), gram[order], None)
+        found.first = self.units_before(found)
+        late = self.late(found)
+        owner, unit = _unfolded(start[order].astype(np.int64), found.count)
+        head, n = _folded(owner[late], unit[late])
+        f = order[owner[late][head]]
+        first = unit[late][head]
         for b in range(len(blobs)):
             mine = np.flatnonzero(source[f] == b)
-            yield pack(found.row[f[mine]].astype(np.int32), start[mine].astype(np.int32), count[mine].astype(np.int32)) if len(mine) else None
-
-    def covered(self, table, answers: list[bytes]):
-        """The ordered chunk prepared, and per unit whether a repeated window covers it."""
-        prepared, _, starts, _, _, repeated = self.settled(table)
-        first = prepared[4]
-        change = np.zeros(int(first[-1]) + 1, np.int64)
-        np.add.at(change, starts[repeated], 1)
-        np.add.at(change, starts[repeated] + self.length, -1)
+            yield pack(row[f[mine]], first[mine].astype(np.int32), n[mine].astype(np.int32)) if len(mine) else None
+
+    def units_before(self, found: Fragments) -> np.ndarray:
+        """The unit of the whole data that each fragment begins with."""
+        raise NotImplementedError
+
+    def covered(self, text: Text, answers: list[bytes]) -> np.ndarray:
+        """Per unit whether a repeated window covers it."""
+        change = np.zeros(int(text.first[-1]) + 1, np.int32)
         for blob in answers:
             row, start, count = unpack(blob)
-            low = first[row] + start
+            low = text.first[row] + start
             np.add.at(change, low, 1)
             np.add.at(change, low + count - 1 + self.length, -1)
-        return prepared, np.cumsum(change)[:-1] > 0
+        return np.cumsum(change, dtype=np.int32)[:-1] > 0
+
+    def finish(self, table, answers: list[bytes]) -> pa.Table:
+        raise NotImplementedError
+
+
+class Text:
+    """Documents as one byte string; see ``Method.prepare``."""
+
+    __slots__ = ("data", "flat", "offsets", "starts", "ends", "first")
+
+    def __init__(self, data: bytes, flat, offsets, starts, ends, first):
+        self.data, self.flat, self.offsets, self.starts, self.ends, self.first = data, flat, offsets, starts, ends, first
+
+    def upto(self, unit: np.ndarray) -> np.ndarray:
+        """The byte behind a unit and the space that ends it, if units are words."""
+        return self.ends[unit]
+
+
+def _spans(gone: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal removed runs: begin and end, counted in their document, and the first of each document (and the end)."""
+    edge = gone.copy()
+    edge[1:] &= ~gone[:-1]
+    begins = first[:-1][first[:-1] < first[1:]]
+    edge[begins] = gone[begins]
+    low = np.flatnonzero(edge)
+    stop = gone.copy()
+    stop[:-1] &= ~gone[1:]
+    ends = first[1:][first[:-1] < first[1:]] - 1
+    stop[ends] = gone[ends]
+    high = np.flatnonzero(stop) + 1
+    doc = np.searchsorted(first, low, "right") - 1
+    return low - first[doc], high - first[doc], np.searchsorted(doc, np.arange(len(first)))
+
+
+def _listed(low: np.ndarray, high: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    pairs = pa.StructArray.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pairs)
+
+
+class Subtree:
+    """A suffix tree of some leaves: their order, and how deep each meets the one before it.
+
+    A leaf is a suffix of the words ``ids``, given by where it begins; leaves come in order of occurrence. Suffixes are
+    followed to ``depth`` words. An inner node is a run of ordered leaves that meet at its depth and no deeper.
+    """
+
+    def __init__(self, ids: np.ndarray, leaves: np.ndarray, depth: int):
+        bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
+        each = max(1, 63 // bits)
+        keys = []
+        for a in range(0, depth, each):
+            key = np.zeros(len(leaves), np.int64)
+            for j in range(a, min(depth, a + each)):
+                key = (key << bits) | ids[leaves + j]
+            keys.append(key)
+        # Stable: leaves of equal suffixes stay in order of occurrence.
+        self.order = np.lexsort(keys[::-1])
+        x, y = leaves[self.order[:-1]], leaves[self.order[1:]]
+        self.meets = np.zeros(len(leaves), np.int64)
+        alive = np.ones(len(x), bool)
+        for j in range(depth):
+            alive &= ids[x + j] == ids[y + j]
+            self.meets[1:] += alive
+
+    def deep_nodes(self, least: int) -> list[tuple[int, int]]:
+        """The inner nodes at ``least`` words or deeper that lie under no other such node: (first, last) of their ordered leaves."""
+        deep = np.concatenate([[False], self.meets[1:] >= least, [False]])
+        return list(zip((np.flatnonzero(~deep[:-1] & deep[1:])).tolist(), (np.flatnonzero(deep[:-1] & ~deep[1:])).tolist()))
 
 
 class WordTrees(Method):
-    """Windows of words; suffixes are split by variable-length prefixes, and each group's tree is cut at window depth."""
+    """Windows of words; variable-length prefixes deal suffixes to subtrees, whose deep inner nodes are the repeats."""
 
-    def __init__(self, length: int = 20, k: int = 8, capacity: int = 4_096):
+    def __init__(self, length: int = 20, k: int = 8, capacity: int = 65_536):
         self.length, self.k, self.capacity = length, k, capacity
 
     def prepare(self, table):
         flat, offsets = buffer_of(table["text"])
         data = flat.tobytes()
-        texts = [b" ".join(data[offsets[i] : offsets[i + 1]].split()) for i in range(len(offsets) - 1)]
-        # A space behind every text keeps words of neighbours apart.
-        flat = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+        # Every word ends with one space.
+        texts = [b" ".join(x) + b" " if (x := data[offsets[i] : offsets[i + 1]].split()) else b"" for i in range(len(offsets) - 1)]
+        data = b"".join(texts)
+        flat = np.frombuffer(data, np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         s, e, first = word_bounds(flat, offsets)
-        return flat, offsets, s, e, first
+        return Text(data, flat, offsets, s, e + 1, first)
 
-    def grams(self, flat, starts, ends):
-        return runs_hash(span_hashes(flat, starts, ends), self.k)
+    def grams(self, text, a, b):
+        low, high = text.starts[a], text.ends[b + self.k - 2]
+        return runs_hash(span_hashes(text.flat[low:high], text.starts[a : b + self.k - 1] - low, text.ends[a : b + self.k - 1] - low), self.k)
 
-    def repeats(self, found: Fragments) -> np.ndarray:
-        """Suffixes of a fragment, cut at window depth, are leaves; leaves that meet at that depth are equal windows."""
-        data = found.data.tobytes()
-        # Words are separated by one space each; a fragment ends with a word.
-        space = np.flatnonzero(found.data == 32)
-        number = np.searchsorted(space, found.begin)
-        keys: list[bytes] = []
-        begin = found.begin.tolist()
-        for f, c in enumerate(found.count.tolist()):
-            gaps = space[number[f] : number[f + 1]].tolist()
-            low = [begin[f], *(g + 1 for g in gaps[: c - 1])]
-            high = [*gaps[self.length - 1 :], begin[f + 1]]
-            keys += [data[a:b] for a, b in zip(low, high)]
-        late = np.zeros(len(keys), bool)
-        for leaves in self.subtrees(keys, list(range(len(keys))), 0):
-            # Leaves are in order of occurrence; equal ones stay so when sorted.
-            leaves.sort(key=keys.__getitem__)
-            for a, b in zip(leaves, leaves[1:]):
-                if keys[a] == keys[b]:
-                    late[b] = True
+    def units_before(self, found):
+        return np.searchsorted(self._words(found.data), found.begin)
+
+    def _words(self, data: bytes) -> np.ndarray:
+        """Where each word begins; every word ends with one space."""
+        gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+        return np.concatenate([[0], gaps + 1])[: len(gaps)]
+
+    def repeats(self, found):
+        """Suffixes of the text, one for each window, are leaves; a deep node's leaves but the first are repeats."""
+        leaves = _unfolded(found.first, found.count)[1]
+        late = np.zeros(len(leaves), bool)
+        if not len(leaves):
+            return late
+        begin = np.append(self._words(found.data), len(found.data))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin.astype(np.int64)), pa.py_buffer(found.data)])
+        ids = words.dictionary_encode().indices.to_numpy()
+        for group in self.prefix_groups(ids, leaves):
+            tree = Subtree(ids, leaves[group], self.length)
+            for first, last in tree.deep_nodes(self.length):
+                late[group[tree.order[first + 1 : last + 1]]] = True
         return late
 
-    def subtrees(self, keys, leaves, at):
-        """Groups of leaves of bounded size: those too large are split by their next word, down to window depth."""
-        if len(leaves) <= self.capacity:
-            yield leaves
-            return
-        split: dict[tuple[bytes, int], list[int]] = {}
-        for x in leaves:
-            end = keys[x].find(b" ", at)
-            split.setdefault((keys[x][at:] if end < 0 else keys[x][at:end], end), []).append(x)
-        for (_, end), group in split.items():
-            if end < 0:
-                yield group
-            else:
-                yield from self.subtrees(keys, group, end + 1)
+    def prefix_groups(self, ids: np.ndarray, leaves: np.ndarray):
+        """Leaves in groups of bounded size, none of which divides a prefix: a prefix of more leaves than fit is lengthened by a word."""
+        work = [(np.arange(len(leaves)), 0)]
+        while work:
+            own, depth = work.pop()
+            # At window depth all leaves are equal, and a group is a single node.
+            if len(own) <= self.capacity or depth == self.length:
+                yield own
+                continue
+            word = ids[leaves[own] + depth]
+            order = np.argsort(word, kind="stable")
+            cuts = np.append(np.flatnonzero(np.diff(word[order])) + 1, len(own)).tolist()
+            a = begin = 0
+            for b in cuts:
+                if b - begin > self.capacity:
+                    if begin > a:
+                        yield np.sort(own[order[a:begin]])
+                    work.append((own[order[begin:b]], depth + 1))
+                    a = b
+                elif b - a > self.capacity:
+                    yield np.sort(own[order[a:begin]])
+                    a = begin
+                begin = b
+            if begin > a:
+                yield np.sort(own[order[a:begin]])
 
     def finish(self, table, answers):
         table = ordered(table)
-        (flat, offsets, s, e, first), gone = self.covered(table, answers)
-        data = flat.tobytes()
-        n = np.diff(first)
-        removed = np.add.reduceat(np.append(gone, False).astype(np.int64), first[:-1]) * (n > 0) if len(n) else n
-        digests = []
+        text = self.prepare(table)
+        gone = self.covered(text, answers)
+        n = np.diff(text.first)
+        low, high, cuts = _spans(gone, text.first)
+        upto = np.concatenate([[0], np.cumsum(gone)])
+        removed = upto[text.first[1:]] - upto[text.first[:-1]]
+        kept = []
         for i in range(len(n)):
-            text = data[offsets[i] : offsets[i + 1] - 1]
+            own = text.data[text.offsets[i] : max(text.offsets[i], text.offsets[i + 1] - 1)]
             if removed[i]:
-                keep = ~gone[first[i] : first[i + 1]]
-                text = b" ".join([w for w, k in zip(text.split(b" "), keep.tolist()) if k])
-            digests.append(hashlib.sha256(text).hexdigest())
-        return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(n.astype(np.int64)), "n_removed": pa.array(removed.astype(np.int64)), "kept_sha256": pa.array(digests, pa.string())})
+                own = b" ".join([w for w, g in zip(own.split(b" "), gone[text.first[i] : text.first[i + 1]].tolist()) if not g])
+            kept.append(own)
+        return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "removed": _listed(low, high, cuts)})
 
 
-class ByteArrays(Method):
-    """Windows of bytes; suffixes at anchors are sorted by linear grouping, prefixes before them by reversed text."""
+class SuffixArray:
+    """Texts of up to ``most`` bytes in byte order, by linear grouping, and how far each agrees with the one before it.
+
+    A text is written as blocks of bytes, each a number, and ends with a symbol that is less than any block and tells
+    how many bytes its last block has; the suffixes of all texts, one after the other, are sorted, and those that begin
+    a text are the order. Agreement is read off neighbours' symbols. ``heads`` are symbols before the first block: texts
+    with different ones are kept apart.
+    """
 
     BLOCK = 12
 
+    def __init__(self, texts: list[bytes], heads: list[int]):
+        # A block's number leaves room below for ends, and heads come above all blocks.
+        above = (1 << 8 * self.BLOCK) + self.BLOCK + 2
+        string: list[int] = []
+        begins: dict[int, int] = {}
+        for i, (x, h) in enumerate(zip(texts, heads)):
+            begins[len(string)] = i
+            string.append(above + h)
+            for c in range(0, len(x), self.BLOCK):
+                string.append(int.from_bytes(x[c : c + self.BLOCK].ljust(self.BLOCK, b"\0"), "big") + self.BLOCK + 2)
+            string.append(1 + (len(x) - 1) % self.BLOCK + 1 if x else 1)
+        string.append(0)
+        places = [p for p in suffix_order(string) if p in begins]
+        self.order = [begins[p] for p in places]
+        self.agrees = [-1] * len(texts)
+        for slot in range(1, len(places)):
+            p, q = places[slot - 1], places[slot]
+            if string[p] != string[q]:
+                continue
+            same = 1
+            while string[p + same] == string[q + same]:
+                same += 1
+            bytes_ = self.BLOCK * (same - 1)
+            x, y = string[p + same], string[q + same]
+            if min(x, y) > self.BLOCK + 1:
+                bytes_ += self.BLOCK - -(-((x - self.BLOCK - 2) ^ (y - self.BLOCK - 2)).bit_length() // 8)
+            self.agrees[slot] = min(bytes_, len(texts[self.order[slot - 1]]), len(texts[self.order[slot]]))
+
+
+class ByteArrays(Method):
+    """Windows of bytes; what follows sampled anchors and, reversed, what precedes them is sorted by linear grouping."""
+
+    #: Texts that are sorted as one string, about.
+    GROUP = 4_000
+
     def __init__(self, length: int = 100, k: int = 52):
         self.length, self.k = length, k
 
     def prepare(self, table):
         flat, offsets = buffer_of(table["text"])
         units = np.arange(len(flat) + 1)
-        return flat, offsets, units[:-1], units[1:], offsets
+        return Text(flat.tobytes(), flat, offsets, units[:-1], units[1:], offsets)
 
-    def grams(self, flat, starts, ends):
-        return runs_hash(flat, self.k)
+    def grams(self, text, a, b):
+        return runs_hash(text.flat[a : b + self.k - 1], self.k)
 
-    def repeats(self, found: Fragments) -> np.ndarray:
-        """Two windows at one offset before their anchors are equal if what follows the anchors agrees far enough in the
-        suffix array, and what precedes them in the array of reversed prefixes."""
+    def units_before(self, found):
+        return found.begin
+
+    def repeats(self, found):
+        """Two windows at one offset before their anchors are equal if what follows the anchors agrees far enough in its
+        suffix array, and what precedes them in the array of reversed texts."""
         n = len(found.count)
         late = np.zeros(int(found.count.sum()), bool)
-        if n < 2:
-            return late
-        data = found.data.tobytes()
-        begin, anchor = found.begin.tolist(), found.anchor.tolist()
-        right, left = {}, {}
+        # By anchor gram: its texts that follow the gram, and those that precede it.
+        kinds: dict[bytes, int] = {}
+        rights: dict[tuple[int, bytes], int] = {}
+        lefts: dict[tuple[int, bytes], int] = {}
         r_of, l_of = np.empty(n, np.int64), np.empty(n, np.int64)
-        _, kind = np.unique(found.gram, return_inverse=True)
-        kinds: list[int] = []
-        for f in range(n):
-            mid = begin[f] + anchor[f]
-            x = data[mid : begin[f + 1]]
-            v = right.setdefault(x, len(right))
-            if v == len(kinds):
-                kinds.append(int(kind[f]))
-            r_of[f] = v
-            l_of[f] = left.setdefault(data[begin[f] : mid][::-1], len(left))
-        r_rank, r_lcp = self._arrange(list(right), self._sorted_suffixes(list(right), kinds), self.length)
-        lefts = list(left)
-        l_rank, l_lcp = self._arrange(lefts, sorted(range(len(lefts)), key=lefts.__getitem__), self.length)
-        r_of, l_of = r_rank[r_of], l_rank[l_of]
+        of = np.empty(n, np.int64)
+        data, k = found.data, self.k
+        for f, (b, a, e) in enumerate(zip(found.begin.tolist(), found.anchor.tolist(), found.end.tolist())):
+            of[f] = kind = kinds.setdefault(data[a : a + k], len(kinds))
+            r_of[f] = rights.setdefault((kind, data[a + k : e]), len(rights))
+            l_of[f] = lefts.setdefault((kind, data[b:a][::-1]), len(lefts))
+        # A gram that comes once has nothing to agree with.
+        many = np.bincount(of, minlength=len(kinds)) > 1
+        r_place, r_agrees = self._arranged(list(rights), many)
+        l_place, l_agrees = self._arranged(list(lefts), many)
+        some = np.flatnonzero(many[of])
+        r_of, l_of = r_place[r_of], l_place[l_of]
         base = np.cumsum(found.count) - found.count
-        for o in range(self.length - self.k + 1):
+        before = found.anchor - found.begin
+        for o in range(self.length - k + 1):
             # The window that starts o bytes before the anchor, where a fragment has it.
-            j = found.anchor - o
-            has = np.flatnonzero((j >= 0) & (j < found.count))
+            j = before[some] - o
+            has = some[(j >= 0) & (j < found.count[some])]
             if len(has) < 2:
                 continue
-            key = (np.cumsum(l_lcp < o)[l_of[has]] << 32) | np.cumsum(r_lcp < self.length - o)[r_of[has]]
+            key = (np.cumsum(l_agrees < o)[l_of[has]] << 32) | np.cumsum(r_agrees < self.length - k - o)[r_of[has]]
             order = np.argsort(key, kind="stable")
-            again = np.zeros(len(has), bool)
-            again[order[1:]] = key[order[1:]] == key[order[:-1]]
-            late[(base + j)[has[again]]] = True
+            again = has[order[1:][key[order[1:]] == key[order[:-1]]]]
+            late[base[again] + before[again] - o] = True
         return late
 
-    def _arrange(self, texts, order, most):
-        """Rank of each text in ``order``, and how far each in order agrees with the one before."""
-        rank = np.empty(len(texts), np.int64)
-        rank[np.array(order, np.int64)] = np.arange(len(texts))
-        size = np.array([min(len(texts[i]), most) for i in order], np.int64)
-        grid = np.frombuffer(b"".join([texts[i][:most].ljust(most, b"\0") for i in order]), np.uint8).reshape(-1, most)
-        lcp = np.zeros(len(texts), np.int64)
-        if len(texts) > 1:
-            differ = grid[1:] != grid[:-1]
-            far = np.where(differ.any(axis=1), differ.argmax(axis=1), most)
-            lcp[1:] = np.minimum(far, np.minimum(size[1:], size[:-1]))
-        return rank, lcp
-
-    def _sorted_suffixes(self, texts: list[bytes], kinds: list[int]) -> list[int]:
-        """Texts of one anchor next to each other and, within it, in byte order.
-
-        What follows an anchor's gram is written as symbols, ranks of its blocks of bytes; the symbol strings of all
-        texts that share their gram with another are joined and their suffixes sorted by linear grouping.
-        """
-        count = np.bincount(np.array(kinds, np.int64))
-        alone = [i for i, x in enumerate(kinds) if count[x] == 1]
-        rest = [i for i, x in enumerate(kinds) if count[x] > 1]
-        if not rest:
-            return alone
-        cuts = range(self.k, self.length, self.BLOCK)
-        blocks = [[texts[i][c : c + self.BLOCK] for c in cuts if c < len(texts[i])] for i in rest]
-        names = {b: r for r, b in enumerate(sorted({b for x in blocks for b in x}), 2)}
-        top = len(names) + 2
-        string: list[int] = []
-        head: dict[int, int] = {}
-        for i, x in zip(rest, blocks):
-            head[len(string)] = i
-            string.append(top + kinds[i])
-            string += [names[b] for b in x]
-            string.append(1)
-        string.append(0)
-        return alone + [head[p] for p in suffix_order(string) if p in head]
+    def _arranged(self, texts: list[tuple[int, bytes]], many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's place among all, texts of one gram next to each other in byte order, and by place the agreement
+        with the text before (-1 at another gram's first). Grams are sorted in groups of some thousand texts."""
+        place, agrees = np.zeros(len(texts), np.int64), np.full(len(texts), -1, np.int64)
+        by: dict[int, list[int]] = {}
+        for i, (kind, _) in enumerate(texts):
+            if many[kind]:
+                by.setdefault(kind, []).append(i)
+        at = 0
+        for one in (own[0] for own in by.values() if len(own) == 1):
+            place[one] = at
+            at += 1
+        group: list[int] = []
+        rest = [own for own in by.values() if len(own) > 1]
+        for nth, own in enumerate(rest):
+            group += own
+            if len(group) >= self.GROUP or nth == len(rest) - 1:
+                array = SuffixArray([texts[i][1] for i in group], [texts[i][0] for i in group])
+                place[[group[x] for x in array.order]] = np.arange(at, at + len(group))
+                agrees[at : at + len(group)] = array.agrees
+                at += len(group)
+                group = []
+        return place, agrees
 
     def finish(self, table, answers):
         table = ordered(table)
-        (flat, offsets, _, _, _), gone = self.covered(table, answers)
-        n = np.diff(offsets)
-        heads = gone.copy()
-        if len(gone):
-            heads[1:] &= ~gone[:-1]
-            edge = offsets[:-1][n > 0]
-            heads[edge] = gone[edge]
-        upto, runs = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(heads)])
-        removed, spans = upto[offsets[1:]] - upto[offsets[:-1]], runs[offsets[1:]] - runs[offsets[:-1]]
-        digests = []
+        text = self.prepare(table)
+        gone = self.covered(text, answers)
+        n = np.diff(text.offsets)
+        low, high, cuts = _spans(gone, text.offsets)
+        removed = np.bincount(np.repeat(np.arange(len(n)), np.diff(cuts)), high - low, len(n)).astype(np.int64)
+        kept = []
         for i in range(len(n)):
-            own = flat[offsets[i] : offsets[i + 1]]
-            digests.append(hashlib.sha256((own[~gone[offsets[i] : offsets[i + 1]]] if removed[i] else own).tobytes()).hexdigest())
-        return pa.table({"doc_id": table["doc_id"], "n_bytes": pa.array(n.astype(np.int64)), "n_removed": pa.array(removed.astype(np.int64)), "n_spans": pa.array(spans.astype(np.int64)), "kept_sha256": pa.array(digests, pa.string())})
+            own = text.flat[text.offsets[i] : text.offsets[i + 1]]
+            kept.append((own[~gone[text.offsets[i] : text.offsets[i + 1]]] if removed[i] else own).tobytes())
+        return pa.table({"doc_id": table["doc_id"], "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed), "kept": pa.array(kept, pa.binary()), "removed": _listed(low, high, cuts)})
