@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import duckdb
 import pytest
@@ -112,13 +113,35 @@ def test_only_learning_rows_and_texts_count(spark):
     assert [out[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3
     assert sum(out[i]["lang_pred"] == k for i, _, k, _ in docs) >= 147
     # Labels of held-out rows do not matter.
-    import zlib
-
     swapped = [(i, t, "en" if zlib.crc32(str(i).encode()) % 4 == 2 else k, s) for i, t, k, s in docs]
     again = language_id.fit(spark.createDataFrame(swapped, schema))
     assert (again.weights == language_id.fit(spark.createDataFrame(docs, schema)).weights).all()
 
 
+def test_the_model_does_not_depend_on_partitions_or_repeats(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choices(t.split(), k=9)), k) for i, (k, t) in enumerate([("aa", "ba be bi bo bu"), ("bb", "ka ke ki ko ku"), ("cc", "ma me mi mo mu")] * 80)]
+    schema = "doc_id long, text string, lang string"
+    monkeypatch.setattr(language_id, "SAMPLE_ALL", 60)
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 1_000)
+    df = spark.createDataFrame(docs, schema)
+    one = language_id.fit(df.coalesce(1))
+    for other in (df.repartition(7), df.unionByName(df).repartition(3)):
+        assert (language_id.fit(other).weights == one.weights).all()
+    # A language with few rows beside a frequent one takes part.
+    learned = next(i for i in range(900, 999) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rare = language_id.fit(spark.createDataFrame([*docs, (learned, "zo zu za zo zu", "zz")], schema))
+    assert rare.langs == ["aa", "bb", "cc", "zz"]
+
+
+def test_clashing_columns_repeats_and_long_texts(spark):
+    text = "the and of that with this from " * 40_000
+    docs = [(1, text, "en", "a", 0.5), (1, text, "en", "a", 0.5), (2, "der die und nicht mit", "de", None, None), (None, "der die und nicht mit", None, "x", 1.0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, lang_pred string, score double")
+    out = language_id.identify(df, language_id.fit(df)).collect()
+    assert len(out) == 4 and sorted(r["lang_pred"] for r in out) == ["de", "de", "en", "en"] and set(df.columns) == set(out[0].asDict())
+
+
 def test_no_labels_at_all(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert language_id.identify(df, language_id.fit(df)).first()["lang_pred"] == "und"

@@ -2,18 +2,17 @@
 
 Features are relative frequencies of hashed byte trigrams of the letters (lower-cased, other characters as one gap), so
 a linear score is the mean of one weight per trigram and whole texts are scored in one pass. Families are given as a
-parameter; languages of none form families by what they resemble. Only a bounded, documented sample of labelled rows is
-fitted on; every row is scored.
+parameter; languages of none of them are one more family. Only a bounded, documented sample of labelled rows is fitted
+on, held as sparse counts; every row is scored.
 """
 
 from __future__ import annotations
 
-import zlib
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,9 +24,9 @@ FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no"),
     "slavic": ("ru", "uk", "pl", "cs", "bg", "sr"),
 }
-#: Labelled rows of a language the models are fitted on, about; and over all languages, at most.
+#: Labelled rows of a language the models are fitted on, at most; and over all languages (but one of each at least).
 SAMPLE, SAMPLE_ALL = 400, 8_000
-#: Bytes of text the sample may have; rows beyond are left out whole, in order of their hash.
+#: Bytes of text the sample may have; rows that do not fit are left out whole, the languages taking turns.
 SAMPLE_BYTES = 32_000_000
 BITS = 13
 UNKNOWN = "und"
@@ -60,29 +59,53 @@ def _trigrams(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return codes >> np.uint32(32 - BITS), begin
 
 
-def _frequencies(texts: list[str]) -> np.ndarray:
-    out = np.zeros((len(texts), 1 << BITS), np.float32)
-    for i, t in enumerate(texts):
-        flat, offsets = buffer_of(pa.array([t]))
-        codes, begin = _trigrams(flat, offsets)
-        codes = codes[: max(0, len(flat))]
-        if len(codes):
-            out[i] = np.bincount(codes, minlength=1 << BITS) / len(codes)
-    return out
+class _Counts:
+    """Relative frequencies of trigrams, a row per text, without their zeros."""
+
+    def __init__(self, begin: np.ndarray, cell: np.ndarray, value: np.ndarray):
+        self.begin, self.cell, self.value = begin, cell, value
+
+    @staticmethod
+    def of(texts: list[str]) -> _Counts:
+        cells, values, size = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], [0]
+        for t in texts:
+            flat, offsets = buffer_of(pa.array([t]))
+            codes, n = np.unique(_trigrams(flat, offsets)[0][: len(flat)], return_counts=True)
+            cells.append(codes.astype(np.int32))
+            values.append((n / max(1, len(flat))).astype(np.float32))
+            size.append(len(codes))
+        return _Counts(np.cumsum(size), np.concatenate(cells), np.concatenate(values))
+
+    def rows(self, at: np.ndarray) -> _Counts:
+        n = np.diff(self.begin)[at]
+        begin = np.concatenate([[0], np.cumsum(n)])
+        take = np.arange(begin[-1]) + np.repeat(self.begin[:-1][at] - begin[:-1], n)
+        return _Counts(begin, self.cell[take], self.value[take])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """One sum per text: its frequencies by their weights."""
+        total = np.concatenate([[0.0], np.cumsum(self.value * w[self.cell], dtype=np.float64)])
+        return total[self.begin[1:]] - total[self.begin[:-1]]
+
+    def summed(self, v: np.ndarray) -> np.ndarray:
+        """One sum per cell: the texts' frequencies by the texts' weights."""
+        return np.bincount(self.cell, self.value * np.repeat(v, np.diff(self.begin)), 1 << BITS)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 120, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def _svm(x: _Counts, y: np.ndarray, rounds: int = 120, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """A linear SVM by Pegasos with whole-set steps; classes weigh alike, features are scaled to comparable spread."""
-    root = np.float32(np.sqrt(x.shape[1]))
-    scale = 1 / (x.std(axis=0) + np.float32(1e-4)) / root
-    mean = x.mean(axis=0)
-    z = (x - mean) * scale
+    n = len(y)
+    mean = x.summed(np.full(n, 1 / n))
+    square = _Counts(x.begin, x.cell, x.value * x.value).summed(np.full(n, 1 / n))
+    scale = 1 / (np.sqrt(np.maximum(square - mean * mean, 0)) + 1e-4) / np.sqrt(1 << BITS)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
+    w, b = np.zeros(1 << BITS), 0.0
     for t in range(1, rounds + 1):
-        wrong = (y * (z @ w + b) < 1) * weight * y
+        # Rows are centred and scaled here, not in memory.
+        own = w * scale
+        wrong = (y * (x.times(own) - mean @ own + b) < 1) * weight * y
         step = 2.0 / np.sqrt(t)
-        w = (w * (1 - step * decay) + step * (wrong.astype(np.float32) @ z)).astype(np.float32)
+        w = w * (1 - step * decay) + step * (x.summed(wrong) - mean * wrong.sum()) * scale
         b += step * wrong.sum() * 0.1
     w = (w * scale).astype(np.float32)
     return w, float(b - mean @ w)
@@ -92,7 +115,7 @@ class Model:
     """One-versus-one SVMs between families, and between the languages of each family."""
 
     def __init__(self, texts: list[str], langs: list[str], families: dict[str, tuple[str, ...]]):
-        x = _frequencies(texts)
+        x = _Counts.of(texts)
         lang = np.array(langs)
         self.langs = sorted(set(langs))
         of = {m: f for f, members in families.items() for m in members}
@@ -105,7 +128,7 @@ class Model:
         for level, labels, names in [("", fam, self.families)] + [(f, lang, m) for f, m in self.members.items()]:
             for a, b in combinations(names, 2):
                 rows = (labels == a) | (labels == b)
-                w, bias = _svm(x[rows], np.where(labels[rows] == a, 1.0, -1.0))
+                w, bias = _svm(x.rows(np.flatnonzero(rows)), np.where(labels[rows] == a, 1.0, -1.0))
                 self.pairs.append((level, a, b))
                 weights.append(w)
                 self.bias.append(bias)
@@ -162,27 +185,30 @@ def remainder(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, families: dict[str, tuple[str, ...]] = FAMILIES, sample: int = SAMPLE) -> Model:
-    """Fits on labelled rows of ``docs`` (doc_id, text, lang) that are not held out: about ``sample`` of each language,
-    chosen by a hash of text, so every source and length takes part; whole texts."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 2)).select("doc_id", "text", "lang")
+    """Fits on labelled rows of ``docs`` (doc_id, text, lang) that are not held out: up to ``sample`` of each language,
+    the least by a hash of id and text, so every source and length takes part; whole texts. Equal tables give equal
+    models, however they are dealt into partitions; repeated rows are taken once."""
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 2))
+    usable = usable.select("lang", "text", F.xxhash64("doc_id", "text", F.lit("sample")).alias("hash"))
     counts = usable.groupBy("lang").count().collect()
-    share = {r["lang"]: min(1.0, sample / r["count"]) for r in counts}
-    if not share:
+    if not counts:
         return Model([], [], families)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) / 1e6
+    each = max(1, min(sample, SAMPLE_ALL // len(counts)))
+    # The rows ranked are some more than are taken, so no language's rows ever meet in one task.
+    share = {r["lang"]: min(1.0, (2 * each + 20) / r["count"]) for r in counts}
     limit = F.create_map(*(F.lit(x) for kv in sorted(share.items()) for x in kv))[F.col("lang")]
-    # The driver takes ids and lengths of the sample first, so that its bytes are bounded before a text moves.
-    drawn = usable.filter(draw < limit)
-    sizes = drawn.select("doc_id", F.octet_length("text").alias("n")).limit(SAMPLE_ALL).collect()
-    sizes.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
-    chosen, total = [], 0
-    for r in sizes:
+    drawn = usable.filter(F.pmod("hash", F.lit(1_000_000)) / 1e6 < limit)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1_000_000)), "hash"))
+    # The driver takes hashes and lengths of the sample first, so that its bytes are bounded before a text moves.
+    sizes = drawn.select("lang", "hash", F.octet_length("text").alias("n")).distinct().withColumn("nth", nth).filter(F.col("nth") <= each).collect()
+    chosen, total = set(), 0
+    for r in sorted(sizes, key=lambda r: (r["nth"], r["lang"])):
         if total + r["n"] <= SAMPLE_BYTES:
-            chosen.append(r["doc_id"])
+            chosen.add((r["lang"], r["hash"]))
             total += r["n"]
-    ids = F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in chosen], "doc_id long"))
-    rows = drawn.join(ids.distinct(), "doc_id", "left_semi").select("doc_id", "text", "lang").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(sorted(chosen), "lang string, hash long"))
+    rows = drawn.join(wanted, ["lang", "hash"], "left_semi").dropDuplicates(["lang", "hash"]).select("hash", "text", "lang").toArrow()
+    rows = rows.sort_by([("lang", "ascending"), ("hash", "ascending")])
     return Model(rows["text"].to_pylist(), rows["lang"].to_pylist(), families)
 
 
@@ -190,7 +216,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1); clashing columns are replaced.
 
     Only the text is an input. Null texts and texts without letters are ``und`` with score 0, as is every text when no
-    labelled rows were there to fit on. Repeated rows get equal predictions; nothing is shuffled.
+    labelled rows were there to fit on. Texts are read whole, however long; repeated rows get equal predictions; an empty
+    table gives an empty result. Nothing is shuffled.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
