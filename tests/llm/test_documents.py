@@ -5,6 +5,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 from tests.llm import brute
@@ -192,10 +193,29 @@ def test_near_dedup_matches_brute_force(spark, small):
 
 def test_near_dedup_of_nothing_and_of_repeated_ids(spark):
     df = spark.createDataFrame([], "doc_id long, text string, component_id string")
-    assert near_dedup.near_duplicates(df).count() == 0
-    df = spark.createDataFrame([(5, "a b c d e", 1), (5, "a b c d e", 2), (7, "A B C D E", 3), (8, "z", 4)], "doc_id long, text string, rep long")
-    out = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect())
-    assert out == [(5, 5, True), (5, 5, True), (7, 5, False), (8, 8, True)]
+    assert near_dedup.near_duplicates(df).count() == 0 and near_dedup.deduplicate(df).count() == 0
+    rows = [(5, "a b c d e", 1), (5, "a b c d e", 2), (7, "A B C D E", 3), (8, "z", 4), (5, "other words of the same id here", 5), (None, "Other words of the same id HERE", 6)]
+    rows += [(None, "lone text without any id", 7), (None, "lone text without any id", 8), (None, None, 9), (9, None, 10), (9, "z", 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key long")
+    out = sorted(((r["doc_id"] or 99, r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect()), key=str)
+    want = [(5, 5, True)] * 3 + [(7, 5, False), (8, 8, True), (9, 8, False), (9, 9, True), (99, 5, False), (99, None, False), (99, None, True), (99, None, True)]
+    assert out == sorted(want, key=str)
+    kept = near_dedup.deduplicate(df)
+    assert kept.columns == df.columns
+    got = {r["_key"] for r in kept.collect()}
+    assert got - {1, 2, 7, 8} == {4, 5, 9, 10} and len(got & {1, 2}) == 1 and len(got & {7, 8}) == 1
+
+
+def test_links_are_confirmed_on_full_sets():
+    # 64-bit hashes that share their upper halves tell two sets apart.
+    a = np.arange(100, dtype=np.uint64) << np.uint64(33)
+    b = a + np.uint64(1)
+    assert near_dedup._resemble(a, b, 80) == 0 and near_dedup._resemble(a, a, 80) == 2
+    for shared in (78, 79, 80, 81, 89, 90):
+        other = np.sort(np.concatenate([a[:shared], b[shared:]]))
+        assert near_dedup._resemble(a, other, 80) == (2 if 100 * shared >= 80 * (200 - shared) else 0)
+    big = np.arange(near_dedup.SKETCH, dtype=np.uint64)
+    assert near_dedup._resemble(big, big, 80) == 1
 
 
 # 7: quality

@@ -28,7 +28,7 @@ HASHES = BANDS * ROWS
 MAYBE = 0.64
 #: Members of a bucket that are compared as one block.
 BLOCK = 1_000
-#: Least hashes of a set that go with a member into the search across components: sets up to this size are whole.
+#: Least hashes of a set that go with a member into the search across components: sets below this size are there in full.
 SKETCH = 512
 
 _rng = np.random.default_rng(7_654_321)
@@ -89,9 +89,8 @@ def _shingle_sets(k: int):
             for part in slices(batch, "text", 1 << 21):
                 hashes, begin = _sets(part["text"], k)
                 values = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                # Hashes are uniform and sorted: the first ones are a bottom-k sketch.
-                high = (hashes >> np.uint64(32)).astype(np.uint32)
-                least = [high[a : min(b, a + SKETCH)].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+                # Hashes are uniform and sorted: the first ones are a bottom-k sketch, or the full set.
+                least = [hashes[a : min(b, a + SKETCH)].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], values, pa.array(least, pa.binary())], names=["id", "hashes", "least"])
 
     return sets
@@ -108,12 +107,10 @@ def _alike(batches):
 
 
 def _resemble(a: np.ndarray, b: np.ndarray, percent: int) -> int:
-    """2: the pair is linked, 1: full sets must tell, 0: it is not; from bottom-k sketches, which hold small sets whole."""
+    """2: the pair is linked, 1: full sets must tell, 0: it is not; from bottom-k sketches, which for small sets are the
+    full sets themselves."""
     shared = len(a) + len(b) - len(union := np.union1d(a, b))
     if max(len(a), len(b)) < SKETCH:
-        # Whole sets, but of shortened hashes: close calls are left to the full ones.
-        if abs(100 * shared - percent * len(union)) <= 2 * len(union):
-            return 1
         return 2 if 100 * shared >= percent * len(union) else 0
     k = min(SKETCH, len(union))
     last = union[k - 1]
@@ -123,13 +120,13 @@ def _resemble(a: np.ndarray, b: np.ndarray, percent: int) -> int:
 
 
 def _across(percent: int):
-    """Of one block pair of a bucket: links between components that sketches confirm, as many as it takes to join them,
-    and the pairs that only full sets can tell about."""
+    """Of one block pair of a bucket: links between components that full sets confirm, as many as it takes to join them,
+    and the pairs of larger sets, which are confirmed afterwards."""
 
     def search(key, blocks):
         side, ids, comp = (blocks[c].to_numpy() for c in ("side", "id", "comp"))
         sigs = np.frombuffer(b"".join(blocks["sig"].to_pylist()), np.uint16).reshape(-1, HASHES)
-        least = [np.unique(np.frombuffer(x, np.uint32)) for x in blocks["least"].to_pylist()]
+        least = [np.frombuffer(x, np.uint64) for x in blocks["least"].to_pylist()]
         joined: dict[int, int] = {}
 
         def root(c: int) -> int:
@@ -172,30 +169,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.filter(100 * F.col("shared") >= percent * (F.col("sizes") - F.col("shared"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
-
-    Two texts are linked if ``100 * shared >= percent * united`` over their sets of distinct ``k``-word shingles (A-Z as
-    a-z); fewer words make one shingle, the whole sequence. Null texts and texts without words have empty sets and are
-    linked with nothing. Repeated texts have equal sets and are linked; a repeated doc_id belongs to the component of
-    its id. Bands find a pair at 0.8 with probability over 0.9999 (25 bands of 5), and surer above.
-    An empty table gives an empty result.
-    """
+def _linked(docs: DataFrame, key: str, k: int, percent: int) -> DataFrame:
+    """doc_id (the key), n_shingles and component (the least key of it) for every row of ``docs``, of which ``key`` is unique."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
     signed = written(docs.mapInArrow(_sign(k), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<bigint>, sig binary"), "near-signed")
     full = signed.filter("n_shingles > 0")
     # Written, so that the join below reads it from a shuffle: the rows of a hot group of copies are split over tasks.
     reps = written(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")), "near-reps")
-    owner = written(full.select("doc_id", "fp1", "fp2").join(reps.hint("merge"), ["fp1", "fp2"]).select("doc_id", "rep").distinct(), "near-owner")
-    one = full.join(owner.filter("doc_id = rep").select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
+    owner = written(full.select("doc_id", "fp1", "fp2").join(reps.hint("merge"), ["fp1", "fp2"]).select("doc_id", "rep"), "near-owner")
+    one = full.join(owner.filter("doc_id = rep").select("doc_id"), "doc_id")
     banded = one.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = written(banded.join(shared, "key"), "near-members")
     popular = members.groupBy("id").agg(F.sum("n").alias("popularity"))
     met = written(popular.join(one.select(F.col("doc_id").alias("id"), "sig"), "id"), "near-met")
     # The ids grow with the input, so texts meet them in a merge join at every size.
-    sets = docs.join(met.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = docs.join(met.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     sets = written(sets.mapInArrow(_shingle_sets(k), "id long, hashes array<bigint>, least binary"), "near-sets")
 
     ranked = members.join(met.select("id", "popularity"), "id")
@@ -230,11 +220,55 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     late = written(confirmed(more.filter("not sure").select("a", "b"), sets, percent).unionByName(sure), "near-late")
     final = components(first.unionByName(late))
 
-    placed = owner.join(final.select(F.col("u").alias("rep"), "v"), "rep", "left").select("doc_id", F.coalesce("v", "rep").alias("component_id"))
-    placed = placed.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    placed = owner.join(final.select(F.col("u").alias("rep"), "v"), "rep", "left").select("doc_id", F.coalesce("v", "rep").alias("component"))
+    return signed.select("doc_id", "n_shingles").join(placed, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and a column that tells its rows apart: doc_id, or, if an id is null or repeated, a number written once."""
+    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs, "doc_id"
+    key = "_key"
+    while key in map(str.lower, docs.columns):
+        key += "_"
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "near-keyed"), key
+
+
+def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+
+    Two texts are linked if ``100 * shared >= percent * united`` over their sets of distinct ``k``-word shingles (A-Z as
+    a-z); fewer words make one shingle, the whole sequence. Null texts and texts without words have empty sets and are
+    linked with nothing. Rows are nodes: rows that share an id are linked if their texts are, and rows without an id take
+    part. component_id is the least id of the component, null if it has none; then one row of it is kept, else those of
+    the least id. Bands find a pair at 0.8 with probability over 0.9999 (25 bands of 5), and surer above. Texts are read
+    whole, however long. An empty table gives an empty result.
+    """
+    docs, key = _keyed(docs.select("doc_id", "text"))
+    found = _linked(docs, key, k, percent)
+    if key == "doc_id":
+        return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+    found = found.withColumnRenamed("doc_id", key).join(docs.select(key, F.col("doc_id").cast("long").alias("doc_id")), key)
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(key).alias("_first"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col(key) == F.col("_first")))
+    return found.join(least.hint("merge"), "component").select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def deduplicate(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component, that of the least id (rows without one last); all columns as they are.
+
+    Null and repeated ids, null texts, and empty tables as in ``near_duplicates``: each row is a node of its own.
+    """
+    keyed, key = _keyed(docs)
+    found = _linked(keyed, key, k, percent)
+    if key == "doc_id":
+        kept = found.filter("doc_id = component").select("doc_id")
+    else:
+        ids = keyed.select(F.col(key).alias("_k"), F.col("doc_id").cast("long").alias("_id"))
+        met = found.join(ids, F.col("doc_id") == F.col("_k"))
+        kept = met.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("_k").alias("c"))).alias("x")).select(F.col("x.c").alias(key))
+    kept = kept.select(F.col(key).alias("_kept")).hint("merge")
+    return keyed.join(kept, keyed[key] == F.col("_kept"), "left_semi").select(*(keyed[c] for c in docs.columns))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
