@@ -171,6 +171,29 @@ def test_decontamination_matches_brute_force(spark, small):
     assert decontamination.search(d, i.filter("false")).count() == 0 and decontamination.search(d.filter("false"), i).count() == 0
 
 
+def test_scattered_items_and_blocks_of_items(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: f"q{rng.randint(0, 10**7)}"
+    items = [(i, " ".join(word() for _ in range(rng.choice([30, 100, 404])))) for i in range(40)]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        for pieces in (2, 4, max(4, len(w) // 27)):
+            cuts = sorted(rng.sample(range(1, len(w)), pieces - 1))
+            out = []
+            for a, b in zip([0, *cuts], [*cuts, len(w)]):
+                out += w[a:b] + [word() for _ in range(rng.randint(60, 200))]
+            docs.append((len(docs), " ".join(out), i))
+    df = spark.createDataFrame([(*x, "y") for x in docs], "doc_id long, text string, item_id long, containment string")
+    held = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id int")
+    want = brute.leaks([x[:2] for x in docs], items)
+    assert len(want) > 60 and {(r["doc_id"], r["item_id"]) for r in decontamination.search(df, held).collect()} == want
+    monkeypatch.setattr(decontamination, "ITEM_BLOCK", 15)
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.search(df, held).collect()} == want
+    kept = decontamination.decontaminate(df, held)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {x[0] for x in docs} - {d for d, _ in want}
+
+
 # 6: near duplicates
 
 

@@ -7,7 +7,8 @@ items that agree in a band of their signatures are candidates, and every candida
 of the item's shingles in the whole document's.
 
 Everything about a document happens where the document is: nothing is shuffled, so no hot passage or source can land in
-one task. Items come to the documents in blocks of bounded size, one pass of the documents for each block.
+one task. Items come to the documents in blocks of bounded size, one pass of the documents for each block; the driver
+holds one block at a time.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WORD, small_batches
+from .shared import WORD, small_batches, written
 from .tokens import buffer_of, shingles, slices
 
 K = 5
@@ -25,8 +26,11 @@ THRESHOLD = 0.8
 #: Shingles of a cell; blocks are runs of cells.
 CELL = 8
 HASHES = 120
-#: Items that go to all documents at once: some hundred bytes of shingles and signatures each, so tens of MB.
-ITEM_BLOCK = 20_000
+#: Shingles of a part of a large item, and the bands (of one minimum) of a part. A block that holds a part and nothing
+#: else of it resembles it by two thirds, so it is missed with probability under one in ten million.
+PART, PART_BANDS = 16, 16
+#: Items, and bytes of their texts, that go to all documents at once: tens of MB of shingles and signatures.
+ITEM_BLOCK, ITEM_BYTES = 20_000, 16_000_000
 _FAR = np.uint32(0xFFFFFFFF)
 
 _rng = np.random.default_rng(20_240_501)
@@ -55,30 +59,53 @@ def _keys(minima: np.ndarray, b: int, rows: int) -> np.ndarray:
     return minima[b] if rows == 1 else minima[2 * b] * np.uint32(0x9E3779B1) + minima[2 * b + 1]
 
 
+def _bands(minima: np.ndarray, members: np.ndarray, rows: int):
+    """Sorted keys, their items, and a table of keys' upper bits, per band; and the shift that gives these bits."""
+    bits = max(16, len(members).bit_length() + 7)
+    bands = []
+    for b in range(len(minima) // rows):
+        keys = _keys(minima, b, rows)
+        order = np.argsort(keys, kind="stable")
+        seen = np.zeros(1 << bits, bool)
+        seen[keys >> np.uint32(32 - bits)] = True
+        bands.append((keys[order], members[order], seen))
+    return np.uint32(32 - bits), bands
+
+
+def _minima(hashes: np.ndarray, begin: np.ndarray, most: int) -> np.ndarray:
+    """The first ``most`` minima of runs of shingles that begin at ``begin``."""
+    return np.stack([np.minimum.reduceat(_hashed(hashes, j), begin) for j in range(most)])
+
+
 class Items:
-    """The items of one block: distinct shingles and, by size partition, band keys."""
+    """The items of one block: distinct shingles and, by size partition, band keys.
+
+    Items that fill several cells are in the index once more, by their parts: one that lies in a document in scattered
+    pieces resembles no block as a whole, but one of its parts does.
+    """
 
     def __init__(self, ids: list[int], texts: list[str]):
         flat, offsets = buffer_of(pa.array([t.encode() for t in texts], pa.binary()))
         hashes, begin = shingles(flat, offsets, K)
         self.ids = np.array(ids, np.int64)
         self.sets = [np.unique(hashes[begin[i] : begin[i + 1]]) for i in range(len(ids))]
-        by: dict[int, list[int]] = {}
-        for i, own in enumerate(self.sets):
-            if len(own):
-                by.setdefault(partition(len(own)), []).append(i)
+        cells = np.array([partition(len(own)) if len(own) else 0 for own in self.sets], np.int64)
         self.parts = []
-        for cells, members in sorted(by.items()):
-            minima = np.array([[_hashed(self.sets[i], j).min() for i in members] for j in range(HASHES)], np.uint32)
-            bits = max(16, len(members).bit_length() + 7)
-            bands = []
-            for b in range(HASHES // rows_of(cells)):
-                keys = _keys(minima, b, rows_of(cells))
-                order = np.argsort(keys, kind="stable")
-                seen = np.zeros(1 << bits, bool)
-                seen[keys >> np.uint32(32 - bits)] = True
-                bands.append((keys[order], np.array(members)[order], seen))
-            self.parts.append((cells, np.uint32(32 - bits), bands))
+        for size in np.unique(cells[cells > 0]).tolist():
+            members = np.flatnonzero(cells == size)
+            own = [self.sets[i] for i in members]
+            at = np.cumsum([0] + [len(x) for x in own[:-1]])
+            self.parts.append((size, *_bands(_minima(np.concatenate(own), at, HASHES), members, rows_of(size))))
+        large = np.flatnonzero(cells > PART // CELL)
+        if len(large):
+            # Parts follow each other in the text; the last one may be longer.
+            at = np.concatenate([np.arange(begin[i], max(begin[i] + 1, begin[i + 1] - PART + 1), PART) for i in large])
+            owner = np.repeat(large, [len(range(begin[i], max(begin[i] + 1, begin[i + 1] - PART + 1), PART)) for i in large])
+            ends = np.minimum(at + PART, begin[owner + 1])
+            take = np.concatenate([np.arange(a, b) for a, b in zip(at, ends)])
+            sizes = np.cumsum(np.append(0, (ends - at)[:-1]))
+            self.parts.append((PART // CELL, *_bands(_minima(hashes[take], sizes, PART_BANDS), owner, 1)))
+        self.parts.sort(key=lambda x: x[0])
         self.longest = max([c for c, _, _ in self.parts], default=0) + 1
 
 
@@ -141,33 +168,42 @@ def matches(items: Items, column, threshold: float) -> list[tuple[int, int, floa
     return out
 
 
-def item_blocks(items: DataFrame) -> list:
-    """The items, distinct and with a word at least, as broadcast blocks of bounded size."""
+def _by_blocks(items: DataFrame, step):
+    """``step(broadcast items)`` for one block of items after the other: the driver holds one block at a time.
+
+    Items are distinct and have a word at least. A single block is left to the plan; the results of several are each
+    written before the next block is gathered.
+    """
     spark = items.sparkSession
     items = items.select(F.col("item_id").cast("long"), "text").filter(F.regexp_count("text", F.lit(WORD)) > 0).distinct()
-    n = max(1, -(-items.count() // ITEM_BLOCK))
-    out = []
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n = max(1, -(-size["n"] // ITEM_BLOCK), -(-(size["bytes"] or 0) // ITEM_BYTES))
     for i in range(n):
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
         rows = part.toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-        out.append(spark.sparkContext.broadcast((rows["item_id"].to_pylist(), rows["text"].to_pylist())))
-    return out
+        sent = spark.sparkContext.broadcast((rows["item_id"].to_pylist(), rows["text"].to_pylist()))
+        out = step(sent)
+        if n == 1:
+            yield out
+        else:
+            yield written(out, "decontamination")
+            sent.destroy()
 
 
 def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, containment: every pair with at least ``threshold`` of the item's distinct shingles in the document.
 
-    ``docs`` has doc_id and text, ``items`` item_id and text. Null texts and texts without words match nothing; a text
-    of fewer words than a shingle is one shingle, its whole sequence, and is found only in a document of just that
-    sequence. Repeated documents give repeated rows, repeated items (same id and text) do not. Empty tables give an
-    empty result.
+    ``docs`` has doc_id and text, ``items`` item_id and text; further columns do not matter. Null texts and texts without
+    words match nothing; a text of fewer words than a shingle is one shingle, its whole sequence, and is found only in a
+    document of just that sequence. Texts are read whole, however long. Repeated documents give repeated rows, repeated
+    items (same id and text) do not. Empty tables give an empty result.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    out = None
-    for sent in item_blocks(items):
-        found = docs.mapInArrow(_finder(sent, threshold), "doc_id long, item_id long, containment double")
-        out = found if out is None else out.unionByName(found)
+    found = list(_by_blocks(items, lambda sent: docs.mapInArrow(_finder(sent, threshold), "doc_id long, item_id long, containment double")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
     return out
 
 
@@ -187,8 +223,10 @@ def _finder(sent, threshold: float):
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose text holds an item; all columns stay as they are, and nulls are kept."""
+    small_batches(docs.sparkSession)
+    now = [docs]
 
-    def keeper(sent):
+    def step(sent):
         def keep(batches):
             held = Items(*sent.value)
             for batch in batches:
@@ -197,13 +235,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
                     clean[[d for d, _, _ in matches(held, part["text"], threshold)]] = False
                     yield part.filter(pa.array(clean))
 
-        return keep
+        return now[-1].mapInArrow(keep, docs.schema)
 
-    small_batches(docs.sparkSession)
-    out = docs
-    for sent in item_blocks(items):
-        out = out.mapInArrow(keeper(sent), docs.schema)
-    return out
+    for out in _by_blocks(items, step):
+        now.append(out)
+    return now[-1]
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

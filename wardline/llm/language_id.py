@@ -12,6 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -212,6 +213,19 @@ def fit(docs: DataFrame, families: dict[str, tuple[str, ...]] = FAMILIES, sample
     return Model(rows["text"].to_pylist(), rows["lang"].to_pylist(), families)
 
 
+def _predicting(docs: DataFrame, model: Model, schema: T.StructType, row) -> DataFrame:
+    """``row(part, names, scores)`` of every part of the table, with its predictions, as one table."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def predict(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                yield row(part, *sent.value.predict(part["text"]))
+
+    return docs.mapInArrow(predict, schema)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1); clashing columns are replaced.
 
@@ -219,18 +233,21 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     labelled rows were there to fit on. Texts are read whole, however long; repeated rows get equal predictions; an empty
     table gives an empty result. Nothing is shuffled.
     """
-    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return _predicting(docs, model, schema, lambda part, names, scores: pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores)], names=schema.names))
 
-    def predict(batches):
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                names, scores = sent.value.predict(part["text"])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*part.schema.names, "lang_pred", "score"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(predict, schema)
+def with_language(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose language can be told, lang filled in where it is null; all columns stay, whatever their names."""
+
+    def told(part, names, scores):
+        pred = pa.array(names, pa.string())
+        lang = pa.array([b if a is None else a for a, b in zip(part["lang"].to_pylist(), names)], pa.string())
+        at = part.schema.get_field_index("lang")
+        return part.set_column(at, part.schema.field(at).name, lang).filter(pc.not_equal(pred, UNKNOWN))
+
+    return _predicting(docs, model, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields]), told)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
