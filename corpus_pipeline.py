@@ -1,4 +1,8 @@
-"""The corpus pipeline: language ID, near-duplicate removal, decontamination, masking of personal data, and mixing."""
+"""The corpus pipeline: language ID, near-duplicate removal, decontamination, masking of personal data, and mixing.
+
+Stages read whole texts, however long, take empty tables (and give empty ones), null values in any column, and repeated
+rows, and hand on further columns, whatever their names; the last returns the columns of the mix.
+"""
 
 from __future__ import annotations
 
@@ -10,31 +14,28 @@ from wardline.llm.shared import written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which no language can be told; fills in lang where it is null."""
-    columns = docs.columns
-    found = language_id.identify(docs, language_id.fit(docs)).filter(F.col("lang_pred") != language_id.UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
+    """Drops documents of which no language can be told (null texts among them); fills in lang where it is null."""
+    return language_id.with_language(docs, language_id.fit(docs))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group, the least id; of rows with one id, one. Rows without id all stay."""
-    kept = near_dedup.near_duplicates(docs.filter("doc_id IS NOT NULL"), k=5).filter("kept").select(F.col("doc_id").alias("_kept")).distinct().hint("merge")
-    one = docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi")
-    return one.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    """Keeps one row of each near-duplicate group, that of the least id, rows without id last; rows that share an id stay
+    unless their texts are alike."""
+    return near_dedup.deduplicate(docs, k=5)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item; null texts hold none."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind; n_chars follows the text."""
-    return private_data.masked(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Replaces personal data by its kind; n_chars follows the text, null texts stay null."""
+    return private_data.masked(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """How many words of each document the mix takes; a null source is one of its own, a null text has no words."""
     return mixing.mix(docs)
 
 
