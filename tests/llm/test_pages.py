@@ -30,6 +30,19 @@ def test_urls_match_brute_force(spark, small):
     assert {r["verdict"] for r in none.collect()} == {"block"}
 
 
+def test_rules_of_thousands_of_lengths_and_empty_tables(spark):
+    rules = [("block" if n % 2 else "allow", "x.com", "/" + "p" * n) for n in range(4_200)]
+    urls = [(n, f"http://a.x.com/{'p' * n}?q", 1) for n in (0, 1, 2, 4_095, 4_096, 4_099, 4_199, 6_000)] + [(9_000, None, 2), (9_001, "http://x.com", 3)]
+    df = spark.createDataFrame(urls, "page_id long, url string, _row int")
+    table = url_filter.rule_table(spark, rules)
+    out = {r["page_id"]: (r["verdict"], r["_row"], len(r["rule"] or "")) for r in url_filter.filter_urls(df, table, default="none").collect()}
+    for n, _, c in urls[:8]:
+        longest = min(n, 4_199)
+        assert out[n] == ("block" if longest % 2 else "allow", c, 6 + longest)
+    assert out[9_000] == ("none", 2, 0) and out[9_001] == ("none", 3, 0)
+    assert url_filter.filter_urls(df.filter("false"), table).count() == 0
+
+
 def test_blocks_of_broken_html():
     texts = lambda h: [b.text for b in blocks(h)]
     assert texts("<p>a<p>b <b>c</b>d<br>e") == ["a", "b cd", "e"]

@@ -20,6 +20,8 @@ RULES = (
 )
 #: Rule tables up to this many rows are broadcast; larger ones are shuffled on the digest prefix.
 BROADCAST_RULES = 100_000
+#: A host and path that many rows share is joined in so many parts.
+SALTS = 32
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -49,22 +51,24 @@ def filter_urls(
     """``df`` with host, path, rule and verdict; clashing columns of ``df`` are replaced.
 
     Null and empty URLs have no host and no path, so no rule fits and ``default`` decides. A path that is empty starts
-    with no rule's path. Repeated rows are judged one by one; the row count never changes.
+    with no rule's path. Repeated rows are judged one by one; the row count never changes; an empty table gives an empty
+    result. URLs and rules may be of any length. The distinct lengths of the rules' paths are gathered on the driver:
+    as many as there are take rules of at least half their square in characters.
     """
     df = df.drop(*(c for c in ("host", "path", "rule", "verdict") if c != url))
     host, path = split_url(F.col(url))
-    lengths = sorted(r[0] for r in rules.select("path_length").distinct().limit(4096).collect())
+    lengths = sorted(r[0] for r in rules.select("path_length").distinct().collect())
     count = rules.count()
-    keyed = df.select(F.struct(*(df[c] for c in df.columns)).alias("_row"), host.alias("host"), path.alias("path"))
+    salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
+    keyed = df.select(F.struct(*(df[c] for c in df.columns)).alias("_row"), host.alias("host"), path.alias("path"), salt.alias("_salt"))
     # A host and path are judged once, however many rows have them: a hot pair does not multiply the expansion.
     pairs = keyed.select("host", "path").distinct()
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(
-        F.array(*(F.when(F.length("path") >= n, F.left("path", F.lit(n))) for n in lengths)), lambda p: p.isNotNull()
-    ) if lengths else F.array().cast("array<string>")
+    # One array of lengths, so the plan does not grow with the rules.
+    fitting = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("path"))
     seen = (
-        pairs.select("host", "path", F.explode(suffixes).alias("_s"), prefixes.alias("_p"))
+        pairs.select("host", "path", F.explode(suffixes).alias("_s"), F.transform(fitting, lambda n: F.left("path", n)).alias("_p"))
         .select("host", "path", "_s", F.explode("_p").alias("_p"))
         .select("host", "path", F.sha2(F.concat("_s", F.lit("\n"), "_p"), 256).alias("_digest"))
         .withColumn("short", F.left("_digest", F.lit(8)))
@@ -74,7 +78,7 @@ def filter_urls(
     best = hits.groupBy("host", "path").agg(
         F.max(F.struct(F.length("rule").alias("n"), F.col("verdict").alias("v"), F.col("rule").alias("r"))).alias("_hit")
     )
-    out = keyed.join(best, ["host", "path"], "left")
+    out = keyed.join(best.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "path", "_salt"], "left")
     return out.select(
         *(F.col(f"_row.`{c}`").alias(c) for c in df.columns),
         "host",
