@@ -49,6 +49,11 @@ def test_blocks_of_broken_html():
     assert texts("x &amp; y&nbsp;z<script>var a = '<p>';</script>w<!-- <p>no</p> -->v") == ["x & y zwv"]
     assert texts("") == [] and texts("<<<>>>") and texts("<p") == [] and texts("<!-- open") == []
     assert texts("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>") == ["a", "b", "c", "d"]
+    assert texts("<p>a</p><svg/><p>b</p>") == ["a", "b"] and texts("<p>a</p><svg><g><text>t</text><p>b</p>c") == ["a", "t", "b", "c"]
+    assert texts("see <math><mi>x</mi><mo>+</mo><mn>1</mn></math> is <svg><title>no</title><path d='M0'/></svg>so") == ["see x+1 is so"]
+    assert texts("a<noscript><p>b</p></noscript><object>c</object>d") == ["a", "b", "cd"]
+    assert texts("<title>T &amp; u</title><body>x<textarea>no</textarea>y<iframe>no</iframe>z<template><p>no</p></template>w") == ["T & u", "x", "y", "z", "w"]
+    assert texts("<select><option>one<option>two</select>t") == ["one", "two", "t"]
     inside, outside = blocks("<div><p>a</div>b")
     assert [t for t, _ in inside.path] == ["div", "p"] and outside.path == ()
 
@@ -88,6 +93,36 @@ def test_held_out_composed_pages(model):
     assert right / total >= 0.97
 
 
+#: Pages of another make than those composed, or those of the tables: (html, blocks of the article, blocks that are not).
+OTHERS = [
+    (
+        "<html><head><title>Harbour news | Daily</title></head><body class='home'><div id='masthead'><a href='/'>Daily</a> <a href='/sport'>Sport</a> <a href='/arts'>Arts</a></div>"
+        "<main><div class='story'><h1>Harbour wall to be rebuilt</h1><p>The old wall will be taken down in spring, the council said on Monday.</p><p>Work is to last two years and to cost nine million.</p>"
+        "<blockquote>We have waited long enough for this.</blockquote><p>Fishers asked that the north quay stay open.</p></div>"
+        "<section id='comments'><h3>3 comments</h3><ol><li><p>About time too.</p></li><li><p>And who is going to pay?</p></li></ol></section></main>"
+        "<aside><h4>Most read</h4><ul><li><a href='/1'>Storm on the way</a></li><li><a href='/2'>Ferry late again</a></li></ul></aside><footer><p>Daily, all rights reserved</p></footer></body></html>",
+        ["Harbour wall to be rebuilt", "The old wall will be taken down in spring, the council said on Monday.", "Work is to last two years and to cost nine million.", "We have waited long enough for this.", "Fishers asked that the north quay stay open."],
+        ["About time too.", "And who is going to pay?", "Storm on the way", "Ferry late again", "Daily, all rights reserved", "3 comments"],
+    ),
+    (
+        "<body><header><h2>A kitchen notebook</h2><nav><a href='/a'>Bread</a><a href='/b'>Soup</a></nav></header><article itemprop='articleBody'><h1>Rye bread</h1><p>Mix the flour with warm water and leave it overnight.</p>"
+        "<ul><li>500 g rye flour</li><li>400 g water</li></ul><div class='newsletter'>Get our letter every week</div><p>Bake it for an hour in a hot oven.</p></article>"
+        "<form><label>Search</label><select><option>All</option><option>Recipes</option></select><button>Go</button></form><div class='cookie consent'><p>We use cookies to improve this site.</p></div></body>",
+        ["Rye bread", "Mix the flour with warm water and leave it overnight.", "500 g rye flour", "400 g water", "Bake it for an hour in a hot oven."],
+        ["Get our letter every week", "We use cookies to improve this site.", "All", "Recipes", "Go"],
+    ),
+]
+
+
+def test_pages_of_another_make(model):
+    right = total = 0
+    for html, inside, outside in OTHERS:
+        text = html_extract.main_texts(model, [html])[0]
+        right += sum(x in text for x in inside) + sum(x not in text.replace("Bread", "") for x in outside)
+        total += len(inside) + len(outside)
+    assert right >= 0.9 * total
+
+
 def test_gradients_are_those_of_the_loss():
     import numpy as np
 

@@ -19,7 +19,7 @@ from .html_blocks import Block, blocks
 from .shared import small_batches
 from .tokens import buffer_of, span_hashes, slices, word_bounds
 
-PATH_CELLS, WORD_CELLS, PLAIN = 96, 12, 6
+PATH_CELLS, WORD_CELLS, PLAIN = 256, 12, 6
 WIDTH = PATH_CELLS + WORD_CELLS + PLAIN
 HIDDEN = 16
 #: Pages that are labelled as one batch.
@@ -191,7 +191,14 @@ class _Composer:
     def links(self, n: int, item: str = "li") -> str:
         return "".join(f'<{item}><a href="/{self.words(1, 2)}">{self.words(1, 4)}</a></{item}>' for _ in range(n))
 
+    def named(self, tag: str, share: float = 0.3) -> str:
+        """An opening tag, at times with a class that says nothing: those of pages yet unseen mostly do."""
+        return f'<{tag} class="{self.words(1, 3).replace("ad", "x")}">' if self.some(share) else f"<{tag}>"
+
     def furniture(self) -> str:
+        return self.named("div") + self._furniture() + "</div>" if self.some(0.15) else self._furniture()
+
+    def _furniture(self) -> str:
         r = self.rng
         kind = r.integers(11)
         if kind == 0:
@@ -203,7 +210,8 @@ class _Composer:
         if kind == 3:
             return f"<div class=\"{self.pick('cookie-notice', 'notice', 'consent cookie', 'alert', 'popup')}\"><p>{self.sentence(5, 40)}</p><button>{self.words(1, 3)}</button></div>"
         if kind == 4:
-            return f"<form action=\"/x\"><label>{self.words(1, 4)}</label><input name=q><button>{self.words(1, 3)}</button><p>{self.sentence(3, 15)}</p></form>"
+            choice = f"<select name=s>{''.join(f'<option>{self.words(1, 3)}</option>' for _ in range(r.integers(1, 7)))}</select>" if self.some(0.4) else ""
+            return f"<form action=\"/x\"><label>{self.words(1, 4)}</label><input name=q>{choice}<button>{self.words(1, 3)}</button><p>{self.sentence(3, 15)}</p></form>"
         if kind == 5:
             body = "".join(f"<{t}><p class=\"author\">{self.words(1, 3)}</p><p>{self.sentence(3, 60)}</p></{t}>" for t in [self.pick("li", "div", "article")] * r.integers(1, 6))
             return f"<{(t := self.pick('section', 'div', 'ol'))} {self.pick('class', 'id')}=\"{self.pick('comments', 'comment-list', 'comment thread', 'responses', 'discussion')}\"><h2>{self.words(1, 3)}</h2>{body}</{t}>"
@@ -238,7 +246,7 @@ class _Composer:
             elif kind == 1:
                 parts.append("<ul>" + "".join(f"<li>\x01{self.sentence(1, 14)}</li>" for _ in range(self.rng.integers(1, 6))) + "</ul>")
             elif kind == 2:
-                parts.append(f"<p><b>{text}<br><p>\x01{self.sentence(2, 30)}</p>")
+                parts.append(f"{self.named('p', 0.1)}<b>{text}<br><p>\x01{self.sentence(2, 30)}</p>")
             elif kind == 3:
                 parts.append(f"<blockquote>{text}</blockquote>")
             elif kind == 4:
@@ -246,22 +254,31 @@ class _Composer:
             elif kind == 5:
                 parts.append(f"<p>{text} <a href=\"/y\">{self.words(1, 5)}</a> {self.words(1, 9)}.</p>")
             else:
-                parts.append(f"<p>{text}</p>")
+                parts.append(f"{self.named('p', 0.1)}{text}</p>")
             if self.some(0.04):
                 parts.append(f"<div class=\"{self.pick('ad', 'share', 'related', 'newsletter')}\">{self.words(2, 15)}</div>")
+            elif self.some(0.05):
+                parts.append(self.furniture())
         if odd:
             word = self.words(1, 2) + self.pick("", ".", "!!")
             parts = [f"<p>\x01{' '.join([word] * int(self.rng.integers(1, 40)))}</p>" for _ in range(self.rng.integers(1, 12))]
             parts[0] = parts[0].replace("p>", self.pick("h1>", "p>"))
+        # Furniture also stands inside the article's or the main element: a heading's, or comments behind the text.
+        if self.some(0.15):
+            parts.insert(0, self.furniture())
+        if self.some(0.2):
+            parts += [self.furniture() for _ in range(self.rng.integers(1, 4))]
         body = "".join(parts)
         kind = self.rng.integers(6)
         name = self.pick("content", "post", "entry-content", "article-body", "main", "story text")
+        if self.some(0.4):
+            body = f"{self.pick(self.named('div', 0.8), f'<div {self.pick('id', 'class')}=\"{name}\">')}{body}</div>"
         if kind <= 2:
-            return f"<article>{body}</article>"
+            return f"{self.named('article', 0.25)}{body}</article>"
         if kind == 3:
             return f"<main><article class=\"{name}\">{body}</article></main>"
         if kind == 4:
-            return f"<div id=\"{name}\">{body}</div>"
+            return f"<div {self.pick('id', 'class')}=\"{name}\">{body}</div>"
         return f"<main>{body}</main>"
 
     def page(self) -> str:
@@ -272,7 +289,7 @@ class _Composer:
         return f"<!DOCTYPE html><html><head><title>{self.words(1, 9)}</title></head><body>{before}{self.article()}{after}</body></html>"
 
 
-def trained(pages: int = 500, seed: int = 17) -> Labeller:
+def trained(pages: int = 600, seed: int = 17) -> Labeller:
     """A labeller fitted on composed pages; equal arguments give equal models."""
     composer = _Composer(seed)
     sequences, labels = [], []
