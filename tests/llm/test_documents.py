@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from wardline.llm import decontamination, language_id, mixing, near_dedup, private_data, quality_rules
@@ -261,6 +262,13 @@ def test_quality_fences_adapt(spark):
     kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(df.withColumn("kept", df["lang"])).collect()}
     assert not kept[500] and not kept[501] and kept[502] and all(v for k, v in kept.items() if k < 200)
     assert quality_rules.judge(df.filter("false")).count() == 0
+    # The same in parts, without doc_id, and with columns that have the names of working ones.
+    odd = df.select(F.col("doc_id").alias("m_word"), "text", "lang", "source", *(F.lit(7).alias(c) for c in ("_lang", "_source", "m_symbols", "m_lines_low", "_salt", "N_WORDS", "_in")))
+    for rows in (-1, 10):
+        out = quality_rules.judge(odd.unionByName(odd).repartition(5), broadcast_rows=rows)
+        assert out.columns[:3] == ["m_word", "lang", "source"] and "N_WORDS" not in out.columns
+        found = [(r["m_word"], r["kept"], r["_lang"], r["_in"], r["m_lines_low"]) for r in out.collect()]
+        assert sorted(found) == sorted([(k, v, 7, 7, 7) for k, v in kept.items()] * 2)
 
 
 # 10: mixing

@@ -115,16 +115,21 @@ def fences(counts: DataFrame) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` (lang, source and ``text`` among its columns) with the base columns, base_failed and kept.
+def judge(docs: DataFrame, text: str = "text", broadcast_rows: int = BROADCAST_FENCES) -> DataFrame:
+    """``docs`` (lang, source and ``text`` among its columns) without ``text``, with the base columns, base_failed and kept.
 
-    Null texts count as empty and fail. Null lang or source is a group of its own. Clashing columns are replaced.
-    Repeated rows are judged one by one; an empty table gives an empty result.
+    Null texts count as empty and fail. Null lang or source is a group of its own. Clashing columns are replaced, others
+    stay, whatever their names. Texts are read whole, however long. Repeated rows are judged one by one; an empty table
+    gives an empty result.
     """
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    docs = docs.drop(*names, "base_failed", "kept")
-    based = docs.withColumns(base_columns(F.col(text))).withColumns(
-        {"_lang": F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")), "_source": F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))}
+    based = base_columns(F.col(text))
+    rest = [c for c in docs.columns if c.lower() not in {*based, text.lower(), "base_failed", "kept"}]
+    # What came in stays in one struct, where no name can clash.
+    based = docs.select(
+        F.struct(*(docs[c] for c in rest), F.lit(0).alias("_")).alias("_in"),
+        F.coalesce(F.concat(F.lit("="), docs["lang"]), F.lit("")).alias("_lang"),
+        F.coalesce(F.concat(F.lit("="), docs["source"]), F.lit("")).alias("_source"),
+        *(c.alias(n) for n, c in based.items()),
     )
     based = based.withColumns(
         {
@@ -134,17 +139,20 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
             "m_lines": F.expr("1000 * n_dup_lines div greatest(n_words, 1)"),
         }
     )
-    based = written(based.drop(text), "quality")
+    based = written(based, "quality")
     limits = written(fences(sketches(based.filter(~F.col("base_failed")))), "fences")
-    if limits.count() <= BROADCAST_FENCES:
+    if limits.count() <= broadcast_rows:
         met = based.join(F.broadcast(limits), ["_lang", "_source"], "left")
     else:
+        # Rows of a hot group are dealt by the partition they lie in.
         salted = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = based.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["_lang", "_source", "_salt"], "left").drop("_salt")
+        met = based.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).join(salted, ["_lang", "_source", "_salt"], "left")
     inside = [F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high")) for m in METRICS]
     kept = ~F.col("base_failed") & inside[0] & inside[1] & inside[2]
-    out = met.withColumn("kept", F.coalesce(kept, F.lit(False)))
-    return out.drop("_lang", "_source", *METRICS, *(f"{m}_{s}" for m in METRICS for s in ("low", "high")))
+    return met.select(
+        *(F.col(f"_in.`{c}`").alias(c) for c in rest), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        F.coalesce(kept, F.lit(False)).alias("kept"),
+    )
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
