@@ -51,7 +51,8 @@ def test_base_spans_match_the_patterns(spark, small):
 def test_patterns_discover_what_base_patterns_miss(spark):
     docs = [(i, f"please dial kontaktnummer +49 170 12345{i:02d} today, whoever reads this") for i in range(40)]
     docs += [(100 + i, f"please dial kontaktnummer 0170-12345{i:02d} today") for i in range(5)]
-    docs += [(200 + i, f"section number 0170-12345{i:02d} of the book") for i in range(5)]
+    # Other digits: the same ones would make "number" a pattern of the second generation.
+    docs += [(200 + i, f"section number 0171-98765{i:02d} of the book") for i in range(5)]
     rows = {r["doc_id"]: r for r in private_data.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     for i in range(5):
         at = docs[40 + i][1].index("0170")
@@ -84,10 +85,66 @@ def test_numbers_in_groups_and_long_words_are_discovered(spark):
 
 
 def test_masking_keeps_everything_else(spark):
-    docs = [(1, "write a@b.example or 10.0.0.1 now", "x"), (2, None, "y"), (3, "nothing here", None), (None, "c@d.example", "z")]
-    df = spark.createDataFrame(docs, "doc_id long, text string, _spans string")
-    out = sorted(((r["doc_id"] or 9, r["text"], r["_spans"]) for r in private_data.masked(df.withColumnRenamed("_spans", "note")).withColumnRenamed("note", "_spans").collect()), key=str)
-    assert out == [(1, "write <EMAIL> or <IP> now", "x"), (2, None, "y"), (3, "nothing here", None), (9, "<EMAIL>", "z")]
+    docs = [(1, "write a@b.example or 10.0.0.1 now", "x"), (2, None, "y"), (3, "nothing here", None), (None, "c@d.example", "z"), (1, "write a@b.example or 10.0.0.1 now", "x"), (1, "", None)]
+    for names in (("_spans", "_id", "_key"), ("_in", "_row", "cands"), ("email", "extra", "_text"), ("left", "kind", "hit")):
+        df = spark.createDataFrame([(d, t, n, 1, "k") for d, t, n in docs], ", ".join(["doc_id long", "text string", f"`{names[0]}` string", f"`{names[1]}` int", f"`{names[2]}` string"]))
+        masked = private_data.masked(df)
+        assert masked.columns == df.columns
+        out = sorted(((r["doc_id"] or 9, r["text"], r[names[0]], r[names[1]], r[names[2]]) for r in masked.collect()), key=str)
+        want = [(1, "write <EMAIL> or <IP> now", "x")] * 2 + [(1, "", None), (2, None, "y"), (3, "nothing here", None), (9, "<EMAIL>", "z")]
+        assert out == sorted([(*w, 1, "k") for w in want], key=str)
+    assert private_data.masked(df.filter("false")).count() == 0 and private_data.find(df.filter("false")).count() == 0
+
+
+def generations(mentions):
+    """{(left, kind): confidence} of the sure patterns, of [(left, kind, hit, seed, texts of left)] of one row each."""
+    edges = {}
+    for left, kind, hit, seed in mentions:
+        edges[left, kind, hit] = max(seed, edges.get((left, kind, hit), 0))
+    score = {}
+    for (_, kind, hit), seed in edges.items():
+        score[kind, hit] = max(seed, score.get((kind, hit), 0))
+    found = {}
+    for _ in range(private_data.ROUNDS):
+        found = {}
+        for left, kind in {x[:2] for x in edges}:
+            own = [score[kind, h] for a, k, h in edges if (a, k) == (left, kind)]
+            if sum(x >= private_data.SURE for x in own) >= private_data.SEEDS:
+                found[left, kind] = sum(own) / (len(own) + 1)
+        score = {(k, h): max([edges[a, kk, hh] for a, kk, hh in edges if (kk, hh) == (k, h)] + [found.get((a, kk), 0) for a, kk, hh in edges if (kk, hh) == (k, h)]) for k, h in score}
+    return {p: c for p, c in found.items() if c >= private_data.SURE}
+
+
+def test_discovered_identifiers_are_seeds_of_later_patterns(spark):
+    rng = random.Random(12)
+    mentions = [("kontakt", "phone", f"+49 170 55500{i:02d}", 1.0) for i in range(60)]
+    mentions += [("kontakt", "phone", f"0170-77700{i:02d}", 0.0) for i in range(8)]
+    # The second generation: never before a base entity, but before what the first one found.
+    mentions += [("rufnummer", "phone", f"0170-77700{i:02d}", 0.0) for i in range(6)] + [("rufnummer", "phone", "0170-8880001", 0.0), ("rufnummer", "phone", "0170-8880002", 0.0)]
+    # A third one, whose seeds are the second's; and one with too few seeds, one too vague.
+    mentions += [("durchwahl", "phone", f"0170-777000{i}", 0.0) for i in range(4)] + [("durchwahl", "phone", "0170-9990001", 0.0)]
+    mentions += [("zimmer", "phone", f"0170-777000{i}", 0.0) for i in range(2)] + [("zimmer", "phone", "0171-1110001", 0.0)]
+    mentions += [("posten", "phone", f"0170-777000{i}", 0.0) for i in range(3)] + [("posten", "phone", f"0172-22200{i:02d}", 0.0) for i in range(9)]
+    rng.shuffle(mentions)
+    docs = [(i, f"so sagt man {left}: {hit} und mehr") for i, (left, _, hit, _) in enumerate(mentions)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = generations(mentions)
+    assert {x[0] for x in want} == {"kontakt", "rufnummer", "durchwahl"}
+    for words in (100_000, 0):
+        got = private_data.sure_patterns(private_data.scanned(df, "text", ["doc_id"]), df, "text", words).collect()
+        assert {(r["left"], r["kind"]): round(r["confidence"], 9) for r in got} == {p: round(c, 9) for p, c in want.items()}
+    spans = {r["doc_id"]: r["spans"] for r in private_data.find(df).collect()}
+    for i, (left, _, hit, seed) in enumerate(mentions):
+        at = docs[i][1].index(hit)
+        assert spans[i] == (f"phone:{at}:{at + len(hit)}" if seed or (left, "phone") in want else "")
+
+
+def test_words_of_any_length_are_patterns(spark):
+    word = "k" + "o" * 200
+    docs = [(i, f"bitte {word} +49 170 12345{i:02d} notieren") for i in range(9)] + [(50, f"bitte {word}: 0170-1234599 notieren"), (51, "bitte k" + "o" * 150 + ": 0170-1234599 notieren")]
+    spans = {r["doc_id"]: r["spans"] for r in private_data.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    at = docs[9][1].index("0170")
+    assert spans[50] == f"phone:{at}:{at + 12}" and spans[51] == ""
 
 
 # 4: language

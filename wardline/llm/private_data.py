@@ -2,8 +2,9 @@
 
 Base entities are seeds. The word before a seed induces a lexical pattern; patterns and the identifier-like words they
 introduce form a bipartite graph, scored in rounds: a pattern by the share of trusted instances it introduces, an
-instance by its best pattern. Patterns that end up sure, with enough different seeds, discover identifiers of their kind
-that no base pattern accepts. All of it is DataFrame operations; texts are read once, what follows works on spans.
+instance by its best pattern. Instances of sure patterns are seeds of the next round, so words that never stand before a
+base entity can become patterns as well. Sure patterns discover identifiers of their kind that no base pattern accepts.
+All of it is DataFrame operations; texts are read once, what follows works on spans.
 """
 
 from __future__ import annotations
@@ -31,26 +32,38 @@ _RUN = r"(?<![^\x20\x09-\x0D])[\p{Punct}]*[0-9][\x20().0-9-]*(?<=[0-9])(?=[\p{Pu
 _BETWEEN = r"\)?(?:\x20?-\x20?|[\x20.])?\(?"
 #: The longest beginning of a run that is a number of a kind.
 _FITS = {k: rf"\A\(?[0-9](?:{_BETWEEN}[0-9]){{{a - 1},{b - 1}}}(?![0-9])" for k, a, b in (("card", 12, 19), ("phone", 7, 15))}
-ROUNDS = 3
+#: Rounds of scoring; each may bring patterns of one more generation.
+ROUNDS = 5
 #: Different seeds a pattern must introduce, and the confidence it must reach, to discover.
 SEEDS, SURE = 3, 0.6
+#: Words of patterns up to this number are broadcast to the texts they are counted in; more are shuffled.
+BROADCAST_WORDS = 100_000
 #: Share of the documents with a pattern's word in which it introduces an identifier; common words fall far below.
 SPECIFIC = 0.2
 
 
+_NONE = "cast(array() as array<struct<s:int,e:int,hit:string,left:string>>)"
+
+
+def _left_word(before: Column) -> Column:
+    """The last word before a span, lower-cased and without punctuation; empty at the start of a text."""
+    spaced = F.translate(before, "\t\n\x0b\f\r", "     ")
+    return F.lower(F.regexp_replace(F.substring_index(F.rtrim(spaced), " ", -1), r"[\p{Punct}]+", ""))
+
+
 def spans_of(text: Column, pattern: str) -> Column:
-    """Matches as array of (s, e, hit, before): code points, end exclusive; before: up to 48 code points to the left."""
+    """Matches as array of (s, e, hit, left): code points, end exclusive; left: the word before, back to the match before."""
     found = F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
 
     def place(x: Column) -> Column:
         pairs = F.zip_with(F.slice(x["p"], F.lit(1), F.size(x["m"])), x["m"], lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-        empty = F.expr("cast(array() as array<struct<s:int,e:int,hit:string,before:string>>)")
+        empty = F.expr(_NONE)
         start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
         def step(acc: Column, q: Column) -> Column:
             s = acc["at"] + F.length(q["p"])
             e = s + F.length(q["m"])
-            one = F.struct(s.alias("s"), e.alias("e"), q["m"].alias("hit"), F.right(q["p"], F.lit(48)).alias("before"))
+            one = F.struct(s.alias("s"), e.alias("e"), q["m"].alias("hit"), _left_word(q["p"]).alias("left"))
             return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
         return F.aggregate(pairs, start, step, lambda acc: acc["out"])
@@ -91,15 +104,10 @@ def base_spans(text: Column, kind: str) -> Column:
         return F.lit(True)
 
     return F.when(gate, F.filter(spans_of(text, PATTERNS[kind]), lambda x: holds(x["hit"]))).otherwise(
-        F.expr("cast(array() as array<struct<s:int,e:int,hit:string,before:string>>)")
+        F.expr(_NONE)
     )
 
 
-def _left_word(before: Column) -> Column:
-    """The last word before a span, lower-cased and without punctuation; empty at the start of a text."""
-    return F.lower(F.regexp_replace(F.regexp_extract(before, r"([^\x20\x09-\x0D]*)[\x20\x09-\x0D]*\z", 1), r"[\p{Punct}]+", ""))
-
-
 def _kind_of(word: Column) -> Column:
     """The kind an identifier-like word could be of, or null."""
     digits = _digits(word)
@@ -126,7 +134,7 @@ def _grouped(text: Column, based: Column) -> Column:
 
         def one(kind: str, x: Column) -> Column:
             hit = F.regexp_extract(x, _FITS[kind], 0)
-            return F.struct((r["s"] + ahead).alias("s"), (r["s"] + ahead + F.length(hit)).alias("e"), hit.alias("hit"), _left_word(r["before"]).alias("left"), F.lit(kind).alias("kind"))
+            return F.struct((r["s"] + ahead).alias("s"), (r["s"] + ahead + F.length(hit)).alias("e"), hit.alias("hit"), r["left"].alias("left"), F.lit(kind).alias("kind"))
 
         return let(own, lambda x: F.array(*(one(k, x) for k in _FITS)))
 
@@ -136,15 +144,17 @@ def _grouped(text: Column, based: Column) -> Column:
 
 
 def scanned(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """Per row of ``docs``: ``keep``, the base spans by kind, and the identifier-like words beside them (cands)."""
-    value = F.coalesce(F.col(text), F.lit(""))
-    based = docs.select(*keep, value.alias("_text"), *(base_spans(value, k).alias(k) for k in KINDS))
+    """Written rows of ``docs``: their number, ``keep`` as one struct (no name can clash), the base spans by kind, and the
+    identifier-like words beside them (cands)."""
+    value = F.coalesce(docs[text], F.lit(""))
+    kept = F.struct(*(docs[c] for c in keep), F.lit(0).alias("_")).alias("_in")
+    based = docs.select(kept, value.alias("_text"), *(base_spans(value, k).alias(k) for k in KINDS))
     every = F.concat(*(F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k in KINDS))
-    words = F.when(F.col("_text").rlike("[0-9@]"), spans_of(F.col("_text"), _CANDIDATE)).otherwise(F.expr("cast(array() as array<struct<s:int,e:int,hit:string,before:string>>)"))
+    words = F.when(F.col("_text").rlike("[0-9@]"), spans_of(F.col("_text"), _CANDIDATE)).otherwise(F.expr(_NONE))
     likely = F.filter(
         F.transform(
             F.filter(words, lambda w: F.length(w["hit"]) >= 7),
-            lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), w["hit"].alias("hit"), w["before"].alias("before"), _kind_of(w["hit"]).alias("kind")),
+            lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), w["hit"].alias("hit"), w["left"].alias("left"), _kind_of(w["hit"]).alias("kind")),
         ),
         lambda w: w["kind"].isNotNull(),
     )
@@ -156,20 +166,20 @@ def scanned(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
             (w["s"] + F.length(F.regexp_extract(w["hit"], r"\A[\p{Punct}]*", 0))).alias("s"),
             (w["e"] - F.length(F.regexp_extract(w["hit"], r"[\p{Punct}]*\z", 0))).alias("e"),
             F.regexp_replace(w["hit"], r"\A[\p{Punct}]+|[\p{Punct}]+\z", "").alias("hit"),
-            _left_word(w["before"]).alias("left"),
+            w["left"].alias("left"),
             w["kind"].alias("kind"),
         ),
     )
-    lean = [F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["hit"].alias("hit"), _left_word(x["before"]).alias("left"))).alias(k) for k in KINDS]
     grouped = let(every, lambda b: _grouped(F.col("_text"), b))
-    return based.select(*keep, *lean, F.concat(trimmed, grouped).alias("cands"))
+    found = based.select("_in", *KINDS, F.concat(trimmed, grouped).alias("cands"), F.monotonically_increasing_id().alias("_row"))
+    return written(found, "pii-spans")
 
 
 def _seeds(kind: str) -> Column:
     return F.transform(kind, lambda x: F.struct(x["left"].alias("left"), F.lit(kind).alias("kind"), F.lower(x["hit"]).alias("hit"), F.lit(1.0).alias("seed")))
 
 
-def sure_patterns(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+def sure_patterns(found: DataFrame, docs: DataFrame, text: str, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """left, kind, confidence of the patterns that discover, from the ``scanned`` rows of ``docs``."""
     others = F.transform("cands", lambda x: F.struct(x["left"].alias("left"), x["kind"].alias("kind"), F.lower(x["hit"]).alias("hit"), F.lit(0.0).alias("seed")))
     # One edge per pattern and instance, however often they meet, with the number of rows that have it.
@@ -178,29 +188,34 @@ def sure_patterns(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
         .groupBy("left", "kind", "hit").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("rows"))
     )
     edges = written(edges, "pii-edges")
+    # Only words that introduce enough different instances can become patterns, whatever the rounds bring.
+    able = edges.groupBy("left", "kind").agg(F.count(F.lit(1)).alias("instances"), F.sum("rows").alias("rows")).filter(F.col("instances") >= SEEDS)
+    able = written(able.select("left", "kind", "rows"), "pii-words")
+    words = able.select("left").distinct()
+    words = F.broadcast(words) if words.count() <= broadcast_words else words.hint("merge")
+    # Texts per word are summed where the texts are: a common word is one row of each task.
+    plain = F.lower(F.regexp_replace(F.coalesce(docs[text], F.lit("")), r"[\p{Punct}]+", ""))
+    each = docs.select(F.explode(F.array_distinct(F.split(plain, r"[\x20\x09-\x0D]+", -1))).alias("left")).join(words, "left", "left_semi")
+    counted = each.groupBy("left").agg(F.count(F.lit(1)).alias("texts"))
+    special = able.join(counted, "left").filter(F.col("rows") >= SPECIFIC * F.col("texts")).select("left", "kind")
+    edges = written(edges.join(special, ["left", "kind"]).select("left", "kind", "hit", "seed"), "pii-edges")
     score = edges.groupBy("kind", "hit").agg(F.max("seed").alias("score"))
     patterns = None
     for _ in range(ROUNDS):
-        met = edges.join(score, ["kind", "hit"])
-        patterns = met.groupBy("left", "kind").agg(
-            (F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.sum("seed").alias("seeds"), F.sum("rows").alias("rows")
+        patterns = edges.join(score, ["kind", "hit"]).groupBy("left", "kind").agg(
+            (F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.count_if(F.col("score") >= SURE).alias("seeds")
         )
-        patterns = written(patterns, "pii-patterns")
+        patterns = written(patterns.filter(F.col("seeds") >= SEEDS), "pii-patterns")
         score = (
-            edges.join(patterns.drop("rows"), ["left", "kind"]).groupBy("kind", "hit")
-            .agg(F.greatest(F.max("seed"), F.max(F.when(F.col("seeds") >= SEEDS, F.col("confidence")).otherwise(0.0))).alias("score"))
+            edges.join(patterns, ["left", "kind"], "left").groupBy("kind", "hit")
+            .agg(F.greatest(F.max("seed"), F.max(F.coalesce("confidence", F.lit(0.0)))).alias("score"))
         )
-    likely = patterns.filter((F.col("seeds") >= SEEDS) & (F.col("confidence") >= SURE))
-    # Texts per word are summed where the texts are, before words meet patterns: a common word is one row of each task.
-    plain = F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\p{Punct}]+", ""))
-    each = docs.select(F.explode(F.array_distinct(F.split(plain, r"[\x20\x09-\x0D]+", -1))).alias("left"))
-    counted = each.groupBy("left").agg(F.count(F.lit(1)).alias("texts"))
-    return likely.join(counted, "left").filter(F.col("rows") >= SPECIFIC * F.col("texts")).select("left", "kind", "confidence")
+    return patterns.filter(F.col("confidence") >= SURE).select("left", "kind", "confidence")
 
 
-def discovered(found: DataFrame, patterns: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` and extra, the discovered spans of a row, for rows that have some."""
-    rows = found.filter(F.size("cands") > 0).select(*keys, F.explode("cands").alias("c")).select(*keys, "c.s", "c.e", "c.left", "c.kind")
+def discovered(found: DataFrame, patterns: DataFrame) -> DataFrame:
+    """_row and extra, the discovered spans of a row, for rows that have some."""
+    rows = found.filter(F.size("cands") > 0).select("_row", F.explode("cands").alias("c")).select("_row", "c.s", "c.e", "c.left", "c.kind")
     hits = rows.join(patterns, ["left", "kind"])
     # A number is one span: of those that begin where it does the longest, and nothing inside that.
     ordered = F.array_sort(F.collect_set(F.struct("s", (-F.col("e")).alias("e"), "kind")))
@@ -210,8 +225,16 @@ def discovered(found: DataFrame, patterns: DataFrame, keys: list[str]) -> DataFr
         one = F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind"))
         return F.when(x["s"] < acc["at"], acc).otherwise(F.struct((-x["e"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
 
-    every = hits.groupBy(*keys).agg(ordered.alias("_every"))
-    return every.select(*keys, F.aggregate("_every", start, step, lambda acc: acc["out"]).alias("extra"))
+    every = hits.groupBy("_row").agg(ordered.alias("_every"))
+    return every.select("_row", F.aggregate("_every", start, step, lambda acc: acc["out"]).alias("extra"))
+
+
+def _with_extra(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """``found`` with extra, the discovered spans; rows without candidates are joined with nothing."""
+    none = F.expr("cast(array() as array<struct<s:int,e:int,kind:string>>)")
+    extra = discovered(found, sure_patterns(found, docs, text))
+    some = found.filter(F.size("cands") > 0).join(extra, "_row", "left").withColumn("extra", F.coalesce("extra", none))
+    return some.unionByName(found.filter(F.size("cands") == 0).withColumn("extra", none))
 
 
 def _joined(spans: Column) -> Column:
@@ -233,46 +256,42 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     """``keep``, n_email, n_ip, n_card, n_phone, base_sha256, and spans for every row of ``docs``.
 
     Null texts are empty: no spans, the digest of the empty string. Repeated rows give equal results. Base spans of
-    different kinds may overlap; discovered ones overlap no base span. An empty table gives an empty result.
+    different kinds may overlap; discovered ones overlap no base span. Texts are read whole, and words and identifiers may
+    be of any length. An empty table gives an empty result.
     """
-    found = scanned(docs, text, list(keep)).withColumn("_row", F.monotonically_increasing_id())
-    found = written(found, "pii-spans")
-    extra = discovered(found, sure_patterns(found, docs, text), ["_row"])
-    joined = found.join(extra, "_row", "left")
-    none = F.expr("cast(array() as array<struct<s:int,e:int,kind:string>>)")
-    return joined.select(
-        *keep,
+    found = _with_extra(scanned(docs, text, list(keep)), docs, text)
+    return found.select(
+        *(F.col(f"_in.`{c}`").alias(c) for c in keep),
         *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(_joined(_base()), 256).alias("base_sha256"),
-        _joined(F.concat(_base(), F.coalesce("extra", none))).alias("spans"),
+        _joined(F.concat(_base(), "extra")).alias("spans"),
     )
 
 
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in angle brackets, other columns as they are.
+    """``docs`` with every span of ``text`` replaced by its kind in angle brackets, other columns as they are, whatever
+    their names.
 
-    Overlapping spans are replaced as one, by the kind of the first. Null texts stay null.
+    Overlapping spans are replaced as one, by the kind of the first. Null texts stay null. Rows are told apart by a number
+    of their own, so null and repeated ids do not matter. An empty table gives an empty result.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(text)).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    found = written(scanned(keyed, text, ["_id", "_key"]), "pii-spans")
-    extra = discovered(found, sure_patterns(found, docs, text), ["_id", "_key"])
-    spans = found.join(extra, ["_id", "_key"], "left")
-    none = F.expr("cast(array() as array<struct<s:int,e:int,kind:string>>)")
-    spans = spans.select("_id", "_key", F.array_sort(F.concat(_base(), F.coalesce("extra", none))).alias("_spans")).filter(F.size("_spans") > 0)
-    spans = spans.dropDuplicates(["_id", "_key"])
+    found = _with_extra(scanned(docs, text, docs.columns), docs, text)
+    value = F.col(f"_in.`{text}`")
 
     def step(acc: Column, x: Column) -> Column:
         return (
-            F.when(x["s"] >= acc["at"], F.struct(x["e"].alias("at"), F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1, x["s"] - acc["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("out")))
+            F.when(x["s"] >= acc["at"], F.struct(x["e"].alias("at"), F.concat(acc["out"], F.substr(value, acc["at"] + 1, x["s"] - acc["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("out")))
             .otherwise(F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out")))
         )
 
-    rebuilt = F.aggregate(
-        F.col("_spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-        lambda acc: F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1, F.length(F.col(text)))),
-    )
-    out = keyed.join(spans, ["_id", "_key"], "left")
-    return out.select(*(F.when(F.col("_spans").isNull(), F.col(text)).otherwise(rebuilt).alias(text) if c == text else F.col(c) for c in docs.columns))
+    def rebuilt(spans: Column) -> Column:
+        whole = F.aggregate(
+            spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+            lambda acc: F.concat(acc["out"], F.substr(value, acc["at"] + 1, F.length(value))),
+        )
+        return F.when(F.size(spans) == 0, value).otherwise(whole)
+
+    return found.select(*(rebuilt(F.array_sort(F.concat(_base(), "extra"))).alias(c) if c == text else F.col(f"_in.`{c}`").alias(c) for c in docs.columns))
 
 
 def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
