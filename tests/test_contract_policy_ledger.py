@@ -186,12 +186,53 @@ def test_sources_and_sinks(spark, sealed, tmp_path):
 
 
 def test_branches(spark):
-    assert reach.alternatives(r"a|b\|c|[|]d|(e|f)") == ["a", r"b\|c", "[|]d", "(e|f)"]
-    corpus = spark.createDataFrame([("say foo now",), ("bar",)], "text string")
-    rows = {(r["rule"], r["branch"]): r["texts"] for r in reach.reachability(spark, corpus, [("r", r"(?:foo|bar|never)")]).collect()}
-    assert rows == {("r", 0): 1, ("r", 1): 1, ("r", 2): 0}
-    locked = reach.locked_out(spark, spark.createDataFrame([("前foo后",), ("xfoox",)], "text string"), [("bad", r"\bfoo\b")]).first()
-    assert locked["strict"] <= locked["relaxed"] == 2
+    for regex in (r"a|b\|c|[|]d|(e|f)", r"(?i)(?:^|[^a])(?:x(?:y|z)?)(?:[^a]|$)", r"[]a|b](?=c|d)(?P<n>e)|\(f", ""):
+        assert reach.written(reach.parse(regex)) == regex
+    assert [b.text for b in reach.branches([("r", r"(?:^|[^a])(?:foo|b[|)]r|x(y)z)(?:[^a]|$)")])] == ["foo", "b[|)]r", "x(y)z"]
+    assert reach.branches([("one", "foo"), ("two", "(?:a|b) (?:c|d)")]) == [] and reach.unmeasured([("one", "foo"), ("two", "(?:a|b) (?:c|d)"), ("r", "a|b")]) == ["one", "two"]
+    corpus = spark.createDataFrame([("say foo now",), ("bar then",), (None,)], "text string")
+    rows = {(r["rule"], r["branch"]): (r["texts"], r["verdict"]) for r in reach.reachability(spark, corpus, [("r", r"(?:foo|bar|never) now")]).collect()}
+    assert rows == {("r", 0): (1, "fires"), ("r", 1): (0, "unreachable"), ("r", 2): (0, "untested")}
+    locked = reach.locked_out(spark, spark.createDataFrame([("前foo后",), (" bar ",)], "text string"), [("bad", r"(?:^|[^x后前])(?:foo|bar)(?:[^x后前]|$)")]).orderBy("branch").collect()
+    assert [(r["strict"], r["relaxed"], r["verdict"]) for r in locked] == [(0, 1, "locked_out"), (1, 0, "fires")]
+    assert reach.self_test(spark)
+
+
+def test_enums_are_typed(spark):
+    def codes(payload, **f):
+        df = spark.createDataFrame([(payload,)], "p string").select(violations(F.try_parse_json("p"), Contract({"x": Field(**f)})).alias("v"))
+        return [v["code"] for v in df.first()["v"]]
+
+    assert codes('{"x": true}', kind="boolean", enum=(True,)) == [] and codes('{"x": false}', kind="boolean", enum=(True,)) == ["enum"]
+    for good in ("1", "1.0", "2.5", "1e0"):
+        assert codes(f'{{"x": {good}}}', kind="number", enum=(1.0, 2.5)) == []
+    assert codes('{"x": 2}', kind="number", enum=(1.0, 2.5)) == ["enum"] and codes('{"x": 9007199254740993}', kind="integer", enum=(9007199254740992,)) == ["enum"]
+    assert codes('{"x": "1"}', kind="string", enum=("1",)) == [] and codes('{"x": "1"}', kind="string", enum=(1,)) == ["enum"] and codes('{"x": "a"}', kind="string", enum=()) == ["enum"]
+
+
+def test_a_long_chain_is_sealed_and_continued(spark):
+    n = 30_000
+    rows = spark.range(n).select(F.lit("c").alias("chain"), "id", F.lit("t").alias("ts"), *(F.lit(c).alias(c) for c in ledger.BODY)).repartition(5)
+    whole = ledger.seal(rows, "chain", ["id"]).persist()
+    assert ledger.verify(whole.withColumn("line", F.col("seq")), "chain", "line").isEmpty() and whole.count() == n
+    part = ledger.seal(rows.filter("id < 10000"), "chain", ["id"])
+    more = ledger.append(part, rows.filter("id >= 10000"), "chain", ["id"])
+    assert more.join(whole, ["chain", "seq", "prev", "digest"], "left_anti").isEmpty() and more.count() == n - 10_000
+    whole.unpersist()
+
+
+def test_ledger_lines_of_split_files(spark, tmp_path):
+    lines = [f'{{"seq": {i}, "kind": "k{i}"}}' if i % 7 else "" for i in range(3_000)]
+    for name in ("a.jsonl", "b.jsonl"):
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = readers.read_ledger(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() >= 1 and got.filter("line <> seq").isEmpty()
+        assert got.groupBy("file").count().collect()[0]["count"] == sum(map(bool, lines)) and got.select("file").distinct().count() == 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_streams(spark, tmp_path):

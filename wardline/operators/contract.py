@@ -162,6 +162,21 @@ def shown(kind: Column) -> Column:
     )
 
 
+def _allowed(value: Column, kind: Column, enum: tuple) -> Column:
+    """Whether a value is one of ``enum``: texts are compared with texts, booleans with booleans, numbers by value."""
+    numbers = [x for x in enum if isinstance(x, (int, float)) and not isinstance(x, bool)]
+    whole = [int(x) for x in numbers if x == int(x)]
+    typed = (
+        (kind == "STRING", "string", [x for x in enum if isinstance(x, str)]), (kind == "BOOLEAN", "boolean", [x for x in enum if isinstance(x, bool)]),
+        (kind == "BIGINT", "bigint", whole), (kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), "double", [float(x) for x in numbers]),
+    )
+    found = F.lit(False)
+    for own, name, values in typed:
+        if values:
+            found = found | (own & F.try_variant_get(value, "$", name).isin(*values))
+    return found
+
+
 def _checked(value: Column, spec: Field, path: Column) -> Column:
     """Violations of a value that is there and not null."""
     kind = F.schema_of_variant(value)
@@ -169,8 +184,7 @@ def _checked(value: Column, spec: Field, path: Column) -> Column:
     one = lambda bad, code, message: F.when(bad, _violation(path, code, message))
     singles: list[Column] = []
     if spec.enum is not None:
-        as_text = F.try_variant_get(value, "$", "string")
-        singles.append(one(~F.coalesce(as_text.isin(*(str(x) for x in spec.enum)), F.lit(False)), "enum", "is none of the allowed values") if spec.enum else one(F.lit(True), "enum", "no value is allowed"))
+        singles.append(one(~F.coalesce(_allowed(value, kind, spec.enum), F.lit(False)), "enum", "is none of the allowed values"))
     if spec.kind in ("number", "integer"):
         number = F.try_variant_get(value, "$", "double")
         if spec.minimum is not None:

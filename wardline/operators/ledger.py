@@ -1,13 +1,18 @@
 """Hash-chained ledgers: sealing per chain, and a verification that finds the first break.
 
 A digest covers a canonical string of type-tagged fields in fixed order; it is this engine's own form and not
-byte-compatible with JSON digests of other programs. Sealing is sequential within a chain and parallel across chains.
+byte-compatible with JSON digests of other programs. Sealing is sequential within a chain and parallel across chains: a
+chain's entries are sorted where they are sealed and stream through, so a chain of any length needs one batch of memory.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GENESIS = "0" * 64
 BODY = ("kind", "action", "decision", "reason", "payload_digest")
@@ -23,21 +28,33 @@ def link(prev: Column, seq: Column, text: Column) -> Column:
     return F.sha2(F.concat(prev, F.lit("|"), seq.cast("string"), F.lit("|"), text), 256)
 
 
-def seal(entries: DataFrame, chain: str, order: list[str], fields: tuple[str, ...] = BODY) -> DataFrame:
-    """chain, seq, prev, digest, and the fields. One array per chain is folded once; chains are independent."""
-    row = F.struct(*(F.col(c) for c in order), body(fields).alias("_body"), F.col("ts"), *(F.col(c) for c in fields if c not in order))
-    grouped = entries.groupBy(chain).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    empty = F.expr("cast(array() as array<string>)")
-    start = F.struct(F.lit(GENESIS).alias("head"), empty.alias("digests"))
+def _sealed(entries: DataFrame, chain: str, order: list[str], fields: tuple[str, ...]) -> DataFrame:
+    """Entries with _head and _n, the head and length of their chain so far, sealed in order."""
+    own = entries.select(F.col(chain).alias("_chain"), F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order))).alias("_order"), body(fields).alias("_body"), "_head", "_n", "ts", *fields)
+    dealt = own.repartition(F.col("_chain")).sortWithinPartitions("_chain", "_order", "_body").drop("_order")
+    kept = T.StructType([T.StructField(chain, entries.schema[chain].dataType), *(T.StructField(n, t) for n, t in (("seq", T.LongType()), ("prev", T.StringType()), ("digest", T.StringType()))), *(entries.schema[c] for c in ("ts", *fields))])
+
+    def sealing(batches):
+        now, head, n = None, "", 0
+        for batch in batches:
+            seqs, prevs, digests = [], [], []
+            for c, text, start, at in zip(*(batch[k].to_pylist() for k in ("_chain", "_body", "_head", "_n"))):
+                if now is None or now[0] != c:
+                    now, head, n = (c,), start, at
+                seqs.append(n)
+                prevs.append(head)
+                head = hashlib.sha256(f"{head}|{n}|{text}".encode()).hexdigest()
+                digests.append(head)
+                n += 1
+            made = [batch["_chain"], pa.array(seqs, pa.int64()), pa.array(prevs, pa.string()), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays([*made, *(batch[c] for c in ("ts", *fields))], names=kept.names)
 
-    def step(acc: Column, x: Column) -> Column:
-        d = link(acc["head"], F.size(acc["digests"]), x["_body"])
-        return F.struct(d.alias("head"), F.concat(acc["digests"], F.array(d)).alias("digests"))
+    return dealt.mapInArrow(sealing, kept)
 
-    sealed = grouped.withColumn("_digests", F.aggregate("_rows", start, step, lambda a: a["digests"]))
-    rows = sealed.select(chain, "_digests", F.posexplode("_rows").alias("_seq", "_r"))
-    prev = F.when(F.col("_seq") == 0, F.lit(GENESIS)).otherwise(F.get("_digests", F.col("_seq") - 1))
-    return rows.select(chain, F.col("_seq").cast("long").alias("seq"), prev.alias("prev"), F.get("_digests", "_seq").alias("digest"), F.col("_r.ts").alias("ts"), *(F.col(f"_r.{c}").alias(c) for c in fields))
+
+def seal(entries: DataFrame, chain: str, order: list[str], fields: tuple[str, ...] = BODY) -> DataFrame:
+    """chain, seq, prev, digest, ts, and the fields, each chain from its beginning; equal places are in order of their body."""
+    return _sealed(entries.withColumns({"_head": F.lit(GENESIS), "_n": F.lit(0).cast("long")}), chain, order, fields)
 
 
 def breaks(ledger: DataFrame, chain: str, line: str, fields: tuple[str, ...] = BODY) -> DataFrame:
@@ -76,18 +93,6 @@ def tail(ledger: DataFrame, n: int = 20) -> DataFrame:
 
 def append(ledger: DataFrame, entries: DataFrame, chain: str, order: list[str], fields: tuple[str, ...] = BODY) -> DataFrame:
     """The sealed entries that continue each chain from its head."""
-    heads = head(ledger, chain)
-    row = F.struct(*(F.col(c) for c in order), body(fields).alias("_body"), F.col("ts"), *(F.col(c) for c in fields if c not in order))
-    grouped = entries.groupBy(chain).agg(F.array_sort(F.collect_list(row)).alias("_rows")).join(heads, chain, "left")
-    base, at = F.coalesce("head", F.lit(GENESIS)), F.coalesce("n", F.lit(0)).cast("long")
-    grouped = grouped.withColumn("_base", base).withColumn("_at", at)
-    start = F.struct(F.col("_base").alias("head"), F.expr("cast(array() as array<string>)").alias("digests"))
-
-    def step(acc: Column, x: Column) -> Column:
-        d = link(acc["head"], F.size(acc["digests"]) + F.col("_at"), x["_body"])
-        return F.struct(d.alias("head"), F.concat(acc["digests"], F.array(d)).alias("digests"))
-
-    sealed = grouped.withColumn("_digests", F.aggregate("_rows", start, step, lambda a: a["digests"]))
-    rows = sealed.select(chain, "_digests", "_base", "_at", F.posexplode("_rows").alias("_i", "_r"))
-    prev = F.when(F.col("_i") == 0, F.col("_base")).otherwise(F.get("_digests", F.col("_i") - 1))
-    return rows.select(chain, (F.col("_i") + F.col("_at")).alias("seq"), prev.alias("prev"), F.get("_digests", "_i").alias("digest"), F.col("_r.ts").alias("ts"), *(F.col(f"_r.{c}").alias(c) for c in fields))
+    heads = head(ledger, chain).select(F.col(chain).alias("_c"), F.col("head").alias("_head"), F.col("n").alias("_n"))
+    met = entries.join(heads, entries[chain].eqNullSafe(heads["_c"]), "left").drop("_c")
+    return _sealed(met.withColumns({"_head": F.coalesce("_head", F.lit(GENESIS)), "_n": F.coalesce("_n", F.lit(0)).cast("long")}), chain, order, fields)

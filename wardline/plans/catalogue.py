@@ -525,6 +525,25 @@ def payload_violations(spark, sf):
     return _violations(spark, sf).select("o_orderkey", "path", "code")
 
 
+FORM = contract.Contract(
+    {
+        "level": contract.Field("number", "How far", enum=(1, 2.5)),
+        "on": contract.Field("boolean", "Whether", enum=(True,)),
+        "tags": contract.Field("array", "Names", min_length=2, items=contract.Field("string", "A name", min_length=3)),
+    }
+)
+_FORMS = ('{"level": 1, "on": true, "tags": ["abc", "def"]}', '{"level": 2.5, "on": false, "tags": ["abc"]}', '{"level": 1.0, "on": true, "tags": ["ab", "abcd"]}', "[1, 2]", '{"level": "1", "on": "true", "tags": []}', "{broken", '{"level": 2, "on": true, "tags": ["abc", "def", ""]}')
+_FORM_CODES = ((1, "on", "enum"), (1, "tags", "min_items"), (2, "tags[0]", "min_length"), (3, "", "not_an_object"), (4, "level", "type"), (4, "on", "type"), (4, "tags", "min_items"), (5, "", "not_an_object"), (6, "level", "enum"), (6, "tags[2]", "min_length"))
+
+
+@register("form_violations", f"SELECT p_partkey, path, code FROM part JOIN (VALUES {', '.join(map(str, _FORM_CODES))}) AS c(k, path, code) ON p_partkey % {len(_FORMS)} = k")
+def form_violations(spark, sf):
+    """Typed enums, shortest lengths, and payloads that are no objects."""
+    payload = F.get(F.array(*map(F.lit, _FORMS)), F.pmod(F.col("p_partkey"), F.lit(len(_FORMS))).cast("int"))
+    found = T.expand(read(spark, sf, "part"), ["p_partkey"], contract.violations(F.try_parse_json(payload), FORM))
+    return found.select("p_partkey", "path", "code")
+
+
 @register("violation_codes", f"WITH {_CODES} SELECT code, count(*) AS n FROM codes GROUP BY code")
 def violation_codes(spark, sf):
     return _violations(spark, sf).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
@@ -737,15 +756,25 @@ for _key, _sql in {
     QUERIES[f"ledger_verify_{_key}"], ORACLE_SQL[f"ledger_verify_{_key}"] = _tampered(_key), f"WITH {_LENGTHS} {_sql}"
 
 
-_REACH = [(r.id, r.regex) for r in (*R.OVERRIDE[:6], *R.CONCEAL[:6])]
+_REACH = [(r.id, r.regex) for r in (*R.ROLE, *R.OVERRIDE, *R.SOFT, *R.CONCEAL, *R.PARAMETER, *R.COERCION, *R.GATE, *R.DIRECTION, *R.DEPRECATED)]
 _BRANCHES = reach.branches(_REACH)
 
 
-@register("rule_reachability", f"WITH {_PLANTED} " + " UNION ALL ".join(f"SELECT '{r}' AS rule, {n} AS branch, count(*) FILTER (regexp_matches(text, {quoted(p)})) AS texts FROM planted" for r, n, p in _BRANCHES))
+def _branch_sql(second: str, columns: str) -> str:
+    """SQL: per branch n1, the texts it fires on, and n2, further ones on which its second form does."""
+    hits = ", ".join(f"CASE WHEN regexp_matches(text, {quoted(b.whole)}) THEN {2 * i} WHEN regexp_matches(text, {quoted(getattr(b, second))}) THEN {2 * i + 1} END" for i, b in enumerate(_BRANCHES))
+    named = ", ".join(f"({i}, '{b.rule}', {b.number})" for i, b in enumerate(_BRANCHES))
+    return f"""WITH {_PLANTED}, seen AS (SELECT unnest(list_filter([{hits}], lambda x: x IS NOT NULL)) AS hit FROM planted),
+    counts AS (SELECT hit // 2 AS i, count(*) FILTER (hit % 2 = 0) AS n1, count(*) FILTER (hit % 2 = 1) AS n2 FROM seen GROUP BY 1),
+    per AS (SELECT rule, branch, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2 FROM (VALUES {named}) AS b(i, rule, branch) LEFT JOIN counts USING (i))
+    SELECT rule, branch, {columns} FROM per"""
+
+
+@register("rule_reachability", _branch_sql("bare", "n1 AS texts, CASE WHEN n1 > 0 THEN 'fires' WHEN n2 > 0 THEN 'unreachable' ELSE 'untested' END AS verdict"))
 def rule_reachability(spark, sf):
     return reach.reachability(spark, planted(spark, sf), _REACH)
 
 
-@register("rule_edges")
+@register("rule_edges", _branch_sql("relaxed", "n1 AS strict, n2 AS relaxed, CASE WHEN n1 > 0 THEN 'fires' WHEN n2 > 0 THEN 'locked_out' ELSE 'untested' END AS verdict"))
 def rule_edges(spark, sf):
     return reach.locked_out(spark, planted(spark, sf), _REACH)

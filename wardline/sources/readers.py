@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import decode
+
 ENTRY = "seq long, ts string, prev string, kind string, action string, decision string, reason string, payload_digest string, findings array<string>, meta string, digest string"
 
 
@@ -27,23 +29,36 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a JSON-lines ledger with file and line; lines that are no entry keep nulls, blank lines are left out."""
-    lines = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
-    rows = lines.select("file", F.posexplode(F.split("value", "\n", -1)).alias("line", "raw")).filter(F.trim("raw") != "")
-    parsed = rows.select("file", "line", "raw", F.from_json("raw", ENTRY).alias("e"))
+    """Entries of a JSON-lines ledger with file and line (from 0); lines that are no entry keep nulls, blank lines are left out.
+
+    Files are read by lines and split like any other. A line's number is its place in its split and the lines of the
+    splits before, of which there is one row each.
+    """
+    at = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), at.alias("at"))
+    first = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    first = first.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    rows = lines.filter(F.trim("value") != "").join(first, ["file", "block"])
+    parsed = rows.select("file", (F.col("before") + F.col("at") - F.col("first")).alias("line"), F.from_json("value", ENTRY).alias("e"))
     return parsed.select("file", "line", "e.*").fillna({"reason": "", "payload_digest": ""})
 
 
-def write_ledger(sealed: DataFrame, path: str) -> None:
-    """Appends sealed entries as JSON lines; one file per write keeps a chain's order within it."""
-    sealed.coalesce(1).sortWithinPartitions("seq").write.mode("append").json(path)
+def write_ledger(sealed: DataFrame, path: str, chain: str | None = None) -> None:
+    """Appends sealed entries as JSON lines, each chain in order in one file: all in one, or dealt by ``chain``."""
+    dealt = sealed.coalesce(1).sortWithinPartitions("seq") if chain is None else sealed.repartition(F.col(chain)).sortWithinPartitions(chain, "seq")
+    dealt.write.mode("append").json(path)
 
 
 def read_literals(spark: SparkSession, path: str, least: int = 8) -> DataFrame:
-    """file, literal: string literals of source files, ``least`` characters or longer."""
+    """file, literal: string literals of source files, ``least`` characters or longer, and those with escapes once more
+    as the escapes read."""
     files = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
     found = files.select("file", F.explode(F.regexp_extract_all("value", F.lit(r'"((?:[^"\\\n]|\\.)*)"' + r"|'((?:[^'\\\n]|\\.)*)'"), F.lit(0))).alias("literal"))
-    return found.select("file", F.expr("substr(literal, 2, length(literal) - 2)").alias("literal")).filter(F.length("literal") >= least)
+    found = found.select("file", F.expr("substr(literal, 2, length(literal) - 2)").alias("literal")).filter(F.length("literal") >= least)
+    own = F.col("literal")
+    read = F.when(own.rlike(r"\\[uxU]"), F.array_distinct(F.array(own, decode.unescaped(own)))).otherwise(F.array(own))
+    return found.select("file", F.explode(read).alias("literal"))
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
