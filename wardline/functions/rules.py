@@ -19,14 +19,14 @@ LEVELS = ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 CATEGORIES = ("coerce", "conceal", "destination", "direct", "hidden", "override", "structure")
 BIT = {c: 1 << i for i, c in enumerate(CATEGORIES)}
 
-#: Category of each detector; those that are not listed never combine.
+#: The category of each detector, which decides what combines; those that are not listed never do.
 CATEGORY_OF = {
     "role_marker": "structure",
     "instruction_override": "override",
     "concealment": "conceal",
     "parameter_override": "coerce",
     "value_coercion": "coerce",
-    "deprecation_redirect": "direct",
+    "deprecation_redirect": "coerce",
     "call_direction": "direct",
     "foreign_action": "direct",
     "url": "destination",
@@ -35,13 +35,13 @@ CATEGORY_OF = {
     "obfuscated_destination": "destination",
     "hardcoded_address": "destination",
     "email_destination": "destination",
-    "zero_width": "hidden",
-    "bidi_control": "hidden",
-    "tag_characters": "hidden",
-    "variation_selector": "hidden",
-    "format_control": "hidden",
-    "mixed_script": "hidden",
-    "disguised_text": "hidden",
+    "zero_width": "structure",
+    "bidi_control": "structure",
+    "tag_characters": "structure",
+    "variation_selector": "structure",
+    "format_control": "structure",
+    "mixed_script": "structure",
+    "disguised_text": "structure",
     "encoded_payload": "hidden",
     "hex_blob": "hidden",
     "escape_run": "hidden",
@@ -81,7 +81,8 @@ _EDGE = r"[^A-Za-z0-9_À-ɏ]"
 
 def expression(short: str) -> str:
     """The full expression of a table entry."""
-    body = short.replace(" ... ", "\x00").replace(" ", _SPACE).replace("\x00", f"{_SPACE}(?:{_GAP}{_SPACE})?")
+    # A blank inside a class is just that.
+    body = re.sub(r"\[[^\]]*\]| \.\.\. | ", lambda m: f"{_SPACE}(?:{_GAP}{_SPACE})?" if m[0] == " ... " else _SPACE if m[0] == " " else m[0], short)
     head = rf"(?:^|{_EDGE})" if re.match(r"[A-Za-z0-9_(\[]", short) and not short.startswith(("(^", "[^")) else ""
     tail = rf"(?:{_EDGE}|$)" if re.search(r"[A-Za-z0-9_)]$", short) and short.isascii() else ""
     return f"(?i){head}(?:{body}){tail}"
@@ -98,6 +99,7 @@ def _table(detector: str, severity: int, rows: str) -> list[Rule]:
 
 _DET = "(?:a|an|the|any|all|your|these|those|every)"
 
+#: The delimiters of turns that chat templates define.
 ROLE = _table(
     "role_marker",
     CRITICAL,
@@ -284,6 +286,7 @@ TLDS = "com|net|org|io|co|dev|app|ai|xyz|info|biz|me|ru|cn|de|uk|fr|es|top|site|
 HOST = rf"(?i)[a-z0-9-]+(?:\.[a-z0-9-]+){{0,2}}\.(?:{TLDS})"
 RECIPIENT = r"(?i)(?:to|into)[ \t\r\n]+(?:the[ \t\r\n]+operator|the[ \t\r\n]+admin(?:istrator)?|our|my)(?:'s)?[ \t\r\n]+(?:key|wallet|account|address|server|vault)"
 COLLECTOR = r"(?i)[a-z0-9.-]*(?:requestbin|webhook\.site|pastebin|ngrok|pipedream|hookbin|burpcollaborator|interact\.sh|trycloudflare|beeceptor)[a-z0-9./-]*"
+#: The alphabets and lengths that chains define for their addresses.
 CHAIN = (("evm", r"0x[0-9a-fA-F]{40}"), ("bitcoin", r"(?:bc1[a-z0-9]{25,60}|[13][1-9A-HJ-NP-Za-km-z]{25,34})"), ("base58", r"[1-9A-HJ-NP-Za-km-z]{32,44}"))
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 ROLE_MAILBOX = r"(?i)^(?:support|info|help|contact|sales|admin|security|privacy|abuse|noreply|no-reply|team|office|press|billing)@"

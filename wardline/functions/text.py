@@ -3,32 +3,69 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType
+from pyspark.sql.types import StringType
 
-#: Written as code points, so that no invisible character stands in this file.
+#: The code points that Unicode defines without a visible mark, by their name. Written as numbers, so that
+#: no invisible character stands in this file.
 _ZERO = (0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2028, 0x2029, 0x2060, 0x2061, 0x2062, 0x2063, 0x2064, 0x3164, 0xFEFF, 0xFFA0)
 ZERO_WIDTH = "".join(map(chr, _ZERO))
+#: Marks and controls of direction, tag characters, and variation selectors, as Unicode has them.
 WEAK_MARKS = "\u200e\u200f\u061c"
 BIDI = "".join(map(chr, (*range(0x202A, 0x202F), *range(0x2066, 0x206A))))
 TAGS = r"[\x{E0000}-\x{E007F}]"
 SELECTORS = r"[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]"
 STRIPPED = rf"[{ZERO_WIDTH}{BIDI}\x{{E0000}}-\x{{E007F}}\x{{FE00}}-\x{{FE0F}}\x{{E0100}}-\x{{E01EF}}\p{{Cf}}]"
 
-#: Letters of other scripts that look like Latin ones.
-_LOOKALIKES = {
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y", "І": "I", "Ј": "J", "Ѕ": "S",
-    "α": "a", "ο": "o", "ρ": "p", "ν": "v", "ι": "i", "κ": "k", "υ": "u", "ε": "e", "χ": "x", "γ": "y", "τ": "t",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮇ": "M", "Ꮲ": "P", "Ꭲ": "T", "ⲟ": "o", "ⲣ": "p", "ꓐ": "B", "ꓚ": "C", "ꓮ": "A", "ɑ": "a", "ɡ": "g", "ı": "i", "ⅼ": "l",
-}
+#: Letters that look like Latin ones, by script, each beside the letter it is read as. They must be these
+#: for texts to be read alike; accented Latin letters are not among them.
+_PAIRS = """
+Cyrillic аa вb сc ԁd еe ёe єe нh һh іi їi јj кk мm оo рp ԛq ѕs тt ѵv ԝw ѡw хx уy
+Cyrillic АA ВB СC ЕE ЁE НH ІI ЈJ КK МM ОO РP ԚQ ЅS ТT ѴV ԜW ХX УY
+Greek αa βb ϲc εe ϵe ιi ϳj κk ηn οo ρp ϱp τt υu μu νv ωw χx γy
+Greek ΑA ΒB ΕE ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΧX ΥY ΖZ
+Armenian աa եe ցg հh յj ոn օo քp գq րr սu
+Cherokee ᎪA ᏴB ᏟC ᎠD ᎬE ᎦF ᏀG ᎻH ᎫJ ᏦK ᏞL ᏓZ ᎷM ᏢP ᎡR ᏚS ᏖT ᎢT ᏙV ᏔW ᎳW ᏃZ
+Coptic ⲁa ⲥc ⲉe ⲏh ⲓi ⲕk ⲙm ⲛn ⲟo ⲣp ⲧt ⲭx
+Lisu ꓮA ꓐB ꓚC ꓓD ꓱE ꓝF ꓖG ꓧH ꓲI ꓙJ ꓘK ꓡL ꓟM ꓠN ꓳO ꓑP ꓣR ꓢS ꓔT ꓴU ꓦV ꓪW ꓫX ꓬY ꓜZ
+Syllabics ᗅA ᗷB ᑕC ᗞD ᗪD ᕮE ᖴF ᕼH ᒪL ᗰM ᘉN ᑎN ᑭP ᖇR ᖶT ᑌU ᗯW ᖯb
+Latin ɑa ᴀa ᴄc ᴅd ᴇe ɡg ɢg ʜh ıi ɪi ᴊj ᴋk ʟl ℓl ⅼl ᴍm ɴn ᴏo ᴘp ʀr ſs ꜱs ᴛt ᴜu ᴠv ᴡw ʏy ᴢz
+"""
+_LOOKALIKES = {pair[0]: pair[1] for line in _PAIRS.split("\n") for pair in line.split()[1:]}
 LOOKALIKE_FROM, LOOKALIKE_TO = "".join(_LOOKALIKES), "".join(_LOOKALIKES.values())
-#: Scripts whose letters are not expected inside a Latin word.
-FOREIGN = r"Ͱ-ϿЀ-ԯ԰-֏֐-׿؀-ۿႠ-ჿᎠ-᏿᐀-ᙿⲀ-⳿ꓐ-꓿"
+#: Scripts whose letters are not expected inside a Latin word: Greek, Cyrillic, Armenian, Hebrew, Arabic, Georgian,
+#: Cherokee and its supplement, syllabics, Coptic, Lisu, and Deseret.
+FOREIGN = r"\x{370}-\x{3FF}\x{400}-\x{52F}\x{530}-\x{58F}\x{590}-\x{5FF}\x{600}-\x{6FF}\x{10A0}-\x{10FF}\x{13A0}-\x{13FF}\x{AB70}-\x{ABBF}\x{1400}-\x{167F}\x{2C80}-\x{2CFF}\x{A4D0}-\x{A4FF}\x{10400}-\x{1044F}"
+
+
+@cache
+def unstable() -> str:
+    """The characters that compatibility normalisation changes or may combine with what stands before them. Texts without
+    any of them are their own normal form."""
+    forms = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0x80, 0x30000) if not 0xD800 <= c <= 0xDFFF}
+    joins = {x for c in forms for x in unicodedata.normalize("NFD", c)[1:]}
+    return "".join(c for c, f in forms.items() if f != c or c in joins or unicodedata.combining(c))
+
+
+@cache
+def disguises() -> str:
+    """The letters beyond ASCII whose compatibility form is ASCII letters."""
+    forms = ((chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0x80, 0x30000) if chr(c).isalpha())
+    return "".join(c for c, f in forms if f.isascii() and f.isalpha())
+
+
+def beyond(text: Column) -> Column:
+    """What a text has beyond ASCII and the accented letters of Latin-1."""
+    return F.regexp_replace(text, r"[\x00-\x7F\xC0-\xFF]+", "")
+
+
+def among(text: Column, characters: str) -> Column:
+    """How many characters of a text are among others: a lookup for each, however many there are."""
+    return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
 def plain(text: Column) -> Column:
@@ -65,26 +102,24 @@ def canonical(text: str | None) -> str:
 
 @F.pandas_udf(StringType())
 def canonicalised(text: pd.Series) -> pd.Series:
-    """The full form, with compatibility normalisation, which Spark has no function for. ASCII texts return at once."""
-    return text.map(canonical)
+    """The full form, with compatibility normalisation, which Spark has no function for. Nulls stay null."""
+    out = text.copy()
+    some = text.notna()
+    out[some] = [canonical(t) for t in text[some]]
+    return out
 
 
-@F.pandas_udf(LongType())
-def disguised_letters(text: pd.Series) -> pd.Series:
+def disguised_letters(text: Column) -> Column:
     """Non-ASCII letters whose compatibility form is ASCII letters."""
-
-    def count(t: str | None) -> int:
-        if not t or t.isascii():
-            return 0
-        return sum(1 for c in t if ord(c) > 127 and c.isalpha() and (n := unicodedata.normalize("NFKC", c)).isascii() and n.isalpha())
-
-    return text.map(count)
+    return F.when(plain(text), F.lit(0)).otherwise(let(beyond(text), lambda t: among(t, disguises())))
 
 
 def with_canonical(df: DataFrame, text: str, out: str = "canon") -> DataFrame:
-    """Adds the canonical text. Rows that are plain ASCII, or null, never enter a Python worker."""
-    ascii = plain(F.coalesce(F.col(text), F.lit("")))
-    return df.filter(ascii).withColumn(out, F.coalesce(F.col(text), F.lit(""))).unionByName(df.filter(~ascii).withColumn(out, canonicalised(F.col(text))))
+    """Adds the canonical text. Python sees only texts with something that normalisation changes; of others it gets a
+    null, and they are folded where they are."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    odd = df.withColumn("_odd", F.when(~plain(whole) & let(beyond(whole), lambda t: among(t, unstable()) > 0), whole))
+    return odd.withColumn("_odd", canonicalised("_odd")).withColumn(out, F.coalesce("_odd", fold(whole))).drop("_odd")
 
 
 def clip(text: Column, n: int = 90) -> Column:

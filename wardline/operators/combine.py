@@ -6,7 +6,7 @@ bitmask; the first damning pair it contains makes a composite, else three catego
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -82,6 +82,17 @@ def usable(units_df: DataFrame, findings: DataFrame, keys: list[str], level: int
     return units_df.join(blocked(findings, keys, level), keys, "left_anti")
 
 
+def scanned_chars(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Per unit the code points that were scanned; a null text has none."""
+    return texts.groupBy(*keys).agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).cast("long").alias("scanned_chars"))
+
+
+def report(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """The findings of each unit in the order of a report: nth (from 1), the gravest first."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("severity"), "detector", "rule", "excerpt")
+    return findings.withColumn("nth", F.row_number().over(order))
+
+
 def severity_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 

@@ -10,7 +10,7 @@ import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("string", "number", "integer", "boolean", "array", "object")
@@ -254,3 +254,14 @@ def with_defaults(payload: Column, contract: Contract) -> Column:
         return fields
     defaults = F.create_map(*(F.lit(x) for k, v in filled.items() for x in (k, v if isinstance(v, str) else json.dumps(v))))
     return F.map_concat(F.map_filter(defaults, lambda k, v: ~F.map_contains_key(fields, k)), fields)
+
+
+def is_valid(payload: Column, contract: Contract) -> Column:
+    return F.size(violations(payload, contract)) == 0
+
+
+def split(payloads: DataFrame, contract: Contract, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """The rows with a valid payload (JSON text), and the others with their ``violations`` for a quarantine table. Every
+    row is in one of the two; null and broken payloads are in the second."""
+    judged = payloads.withColumn("violations", violations(F.try_parse_json(payload), contract))
+    return judged.filter(F.size("violations") == 0).drop("violations"), judged.filter(F.size("violations") > 0)

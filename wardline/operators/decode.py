@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html.entities import html5
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -136,32 +136,26 @@ def views(text: Column) -> Column:
 
 
 def folded(readings: Column) -> Column:
-    """(label, _folded) of the readings; of those equal when folded, the first. Nothing leaves the row for that."""
-    each = F.transform(readings, lambda v: F.struct(v["label"].alias("label"), T.fold(v["decoded"]).alias("_folded")))
-    return T.let(each, lambda a: F.filter(a, lambda v, i: F.array_position(a["_folded"], v["_folded"]) == i + 1))
+    """The readings as pieces, folded; of those equal when folded, the first. Nothing leaves the row for that."""
+    each = F.transform(readings, lambda v: detect.piece("reading", v["label"], T.fold(v["decoded"]), F.lit("")))
+    return T.let(each, lambda a: F.filter(a, lambda v, i: F.array_position(F.transform(a, lambda x: x["text"]), v["text"]) == i + 1))
 
 
-def revealed(df: DataFrame, keys: list[str], text: str = "text", canon: str = "canon") -> DataFrame:
-    """keys, label, detector, severity, rule, excerpt: what readings show that the canonical text does not.
+def revealing(said: Column, aims: Column) -> Column:
+    """Signals of a reading: what it shows that the canonical text (_canon) does not.
 
-    Readings equal when folded are looked at once. A signal of HIGH severity makes an encoded_payload that is CRITICAL;
-    the first link or host of a reading, whatever its severity, an obfuscated_destination. Reordered readings are not
-    searched for destinations.
+    A signal of HIGH severity makes an encoded_payload that is CRITICAL; the first link or host of a reading, whatever its
+    severity, an obfuscated_destination.
     """
-    packed = F.col(text).rlike("(?:%[0-9a-fA-F]{2}){4}").alias("_packed")
-    rows = T.expand(df, [*keys, F.col(canon).alias("_canon"), packed], folded(views(F.col(text))))
-    read = F.when(F.col("label").isin(*REORDERED), F.lit("")).otherwise(F.col("_folded"))
-    rows = rows.withColumn("_low", F.lower("_folded")).withColumn("_read", read)
-    rows = detect.destinations(rows, "_read", "_aims", width=1 << 30)
-    flat = F.regexp_replace(F.lower("_canon"), "[^a-z0-9]", "")
     # Scattered percent signs are common in links; such a link is new if its host is.
-    loose = (F.col("label") == "percent") & ~F.col("_packed")
+    loose = (F.col("_label") == "percent") & ~F.col("_packed")
+    flat = F.regexp_replace(F.lower("_canon"), "[^a-z0-9]", "")
     origin = lambda x: F.regexp_extract(x, "^(?:[A-Za-z]+:)?(?://)?[^/?#]+", 0)
     hidden = lambda s: ~F.contains(F.col("_canon"), F.when(loose & (s["detector"] == "url"), origin(s["excerpt"])).otherwise(s["excerpt"]))
-    found = lambda detector, s: F.struct(F.lit(detector).alias("detector"), F.lit(R.CRITICAL).alias("severity"), s["rule"].alias("rule"), T.clip(s["excerpt"]).alias("excerpt"))
-    aims = F.filter("_aims", hidden)
-    squashed = F.filter(detect.squashed(F.col("_folded")), lambda s: ~F.contains(flat, s["excerpt"]))
-    said = F.filter(F.concat(detect.phrases(F.col("_folded"), F.col("_low")), squashed), hidden)
-    payloads = F.array_distinct(F.transform(F.filter(F.concat(said, aims), lambda s: s["severity"] >= R.HIGH), lambda s: found("encoded_payload", s)))
-    links = F.slice(F.filter(aims, lambda s: s["detector"].isin("url", "obfuscated_destination")), 1, 1)
-    return T.expand(rows, [*keys, "label"], F.concat(payloads, F.transform(links, lambda s: found("obfuscated_destination", s))))
+    spread = lambda s: s["rule"].startswith("squashed_") & F.contains(flat, s["excerpt"])
+    found = lambda detector, s: detect.signal(detector, R.CRITICAL, s["rule"], s["excerpt"])
+    new = F.filter(aims, hidden)
+    strong = F.filter(F.concat(F.filter(said, lambda s: hidden(s) & ~spread(s)), new), lambda s: s["severity"] >= R.HIGH)
+    payloads = F.array_distinct(F.transform(strong, lambda s: found("encoded_payload", s)))
+    links = F.slice(F.filter(new, lambda s: s["detector"].isin("url", "obfuscated_destination")), 1, 1)
+    return F.concat(payloads, F.transform(links, lambda s: found("obfuscated_destination", s)))

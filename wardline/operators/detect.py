@@ -40,13 +40,24 @@ def by_pattern(canon: Column, low: Column, rules: Iterable[R.Rule]) -> Column:
 
 
 def call_direction(canon: Column, low: Column) -> Column:
-    """One signal, of the first rule in the table that matches: LOW if the text goes on with this or it, else MEDIUM."""
-    cases = None
-    for r in R.DIRECTION:
-        own = canon.rlike(rf"{r.regex[:-len('(?:[^A-Za-z0-9_À-ɏ]|$)')] if r.regex.endswith('|$)') else r.regex}[ \t\r\n]+(?:this|it)(?:[^A-Za-z]|$)")
-        found = signal("call_direction", F.when(own, R.LOW).otherwise(R.MEDIUM), r.id, F.regexp_extract(canon, r.regex, 0))
-        cases = F.when(rule_hit(canon, low, r), found) if cases is None else cases.when(rule_hit(canon, low, r), found)
-    return _kept([cases])
+    """One signal, of the match that begins first (of several, the rule that comes first in the table): LOW if the text
+    goes on with this or it, else MEDIUM."""
+
+    def first(r: R.Rule) -> Column:
+        parts = F.split(canon, r.regex, 2)
+        hit = F.regexp_extract(canon, r.regex, 0)
+        about = F.element_at(parts, 2).rlike(r"\A[ \t\r\n]*(?:this|it)(?:[^A-Za-z0-9_]|\z)")
+        found = F.struct(F.length(parts[0]).alias("at"), F.lit(r.id).alias("rule"), hit.alias("hit"), F.coalesce(about, F.lit(False)).alias("own"))
+        return F.when(rule_hit(canon, low, r), found)
+
+    every = F.array_compact(F.array(*map(first, R.DIRECTION)))
+    earliest = let_least(every)
+    return F.transform(earliest, lambda x: signal("call_direction", F.when(x["own"], R.LOW).otherwise(R.MEDIUM), x["rule"], x["hit"]))
+
+
+def let_least(found: Column) -> Column:
+    """Of structs that begin with ``at``, an array of the first with the least one, or of none."""
+    return T.let(found, lambda a: F.slice(F.filter(a, lambda x: x["at"] == F.array_min(F.transform(a, lambda y: y["at"]))), 1, 1))
 
 
 def once(canon: Column, low: Column, rules: Iterable[R.Rule]) -> Column:
@@ -202,32 +213,54 @@ def _addresses(t: Column, name: str, pattern: str, aimed, verb: Column) -> Colum
     return F.transform(_matches(t, whole, gate), lambda x: signal("hardcoded_address", F.when(aimed(x), R.HIGH).otherwise(R.LOW), name, F.regexp_extract(x["hit"], pattern, 0)))
 
 
+#: Joins emoji, and marks ordinary in right-to-left text.
+_MILD = "\u200d" + T.WEAK_MARKS
+
+
 def characters(text: Column) -> Column:
-    """Signals of the raw text: invisible, directional, tag and selector characters, and words of mixed scripts."""
+    """Signals of the raw text: invisible, directional, tag and selector characters, and the first word of mixed scripts.
+
+    Invisible characters and format controls are counted by name, in the order in which the text has them: an invisible
+    one is CRITICAL if it sits inside a word of ASCII letters somewhere, MEDIUM if it has an ordinary use, else HIGH.
+    """
+    every = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
     count = lambda p: F.regexp_count(text, F.lit(p))
-    zero = f"[{T.ZERO_WIDTH}]"
-    inside = text.rlike(rf"[A-Za-z](?:(?!­){zero})+[A-Za-z]")
-    strong = text.rlike(rf"[^‍{T.WEAK_MARKS}&&{zero}]")
+    inside = F.regexp_extract_all(text, F.lit(rf"(?<=[A-Za-z])[{T.ZERO_WIDTH}&&[^\xAD]](?=[A-Za-z])"), F.lit(0))
+    mild = F.array(*map(F.lit, _MILD))
+    named = lambda n, c: F.concat(n.cast("string"), F.lit(" x U+"), F.lpad(F.regexp_replace(F.hex(F.encode(c, "UTF-32")), "^0+", ""), 4, "0"))
+    times = lambda a, c: F.size(F.filter(a, lambda x: x == c))
+    zero = T.let(
+        F.struct(every(f"[{T.ZERO_WIDTH}]").alias("all"), inside.alias("inside")),
+        lambda z: F.transform(
+            F.array_distinct(z["all"]),
+            lambda c: signal(
+                "zero_width", F.when(F.array_contains(z["inside"], c), R.CRITICAL).when(F.array_contains(mild, c), R.MEDIUM).otherwise(R.HIGH), "zero_width", named(times(z["all"], c), c)
+            ),
+        ),
+    )
+    other = T.let(
+        every(rf"[\p{{Cf}}&&[^{T.ZERO_WIDTH}{T.BIDI}\x{{E0000}}-\x{{E007F}}]]"),
+        lambda a: F.transform(F.array_distinct(a), lambda c: signal("format_control", R.HIGH, "format", named(times(a, c), c))),
+    )
     word = F.regexp_extract(text, rf"((?:[A-Za-zÀ-ɏ]+[{T.FOREIGN}]|[{T.FOREIGN}]+[A-Za-zÀ-ɏ])[A-Za-zÀ-ɏ{T.FOREIGN}]*)", 1)
-    shown = lambda n: F.concat(n.cast("string"), F.lit(" characters"))
     bidi, tags = count(f"[{T.BIDI}]"), count(T.TAGS)
-    selectors = F.regexp_count(text, F.lit(r"[\x{E0100}-\x{E01EF}]")) + F.regexp_count(text, F.lit(r"(?<=[\x{FE00}-\x{FE0F}])[\x{FE00}-\x{FE0F}]"))
-    other = count(rf"[\p{{Cf}}&&[^{T.ZERO_WIDTH}{T.BIDI}\x{{E0000}}-\x{{E007F}}]]")
+    selectors = F.regexp_count(text, F.lit(r"[\x{E0100}-\x{E01EF}]")) + F.regexp_count(text, F.lit(r"(?<=[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}])[\x{FE00}-\x{FE0F}]"))
     many = lambda n, s: F.array_repeat(s, n.cast("int"))
     odd = text.rlike(rf"[{T.ZERO_WIDTH}{T.BIDI}{T.FOREIGN}\p{{Cf}}\x{{E0000}}-\x{{E007F}}\x{{FE00}}-\x{{FE0F}}\x{{E0100}}-\x{{E01EF}}]")
-    every = F.concat(
+    found = F.concat(
         many(selectors, signal("variation_selector", R.CRITICAL, "selector", F.lit("selector"))),
         many(bidi, signal("bidi_control", R.CRITICAL, "bidi", F.lit("direction control"))),
         many(tags, signal("tag_characters", R.CRITICAL, "tag", F.lit("tag character"))),
-        _kept(
-            [
-                F.when(count(zero) > 0, signal("zero_width", F.when(inside, R.CRITICAL).when(strong, R.HIGH).otherwise(R.MEDIUM), "zero_width", shown(count(zero)))),
-                F.when(other > 0, signal("format_control", R.HIGH, "format", shown(other))),
-                F.when(word != "", signal("mixed_script", F.when(word.rlike(f"[{T.LOOKALIKE_FROM}]"), R.CRITICAL).otherwise(R.HIGH), "mixed", word)),
-            ]
-        ),
+        zero,
+        other,
+        _kept([F.when(word != "", signal("mixed_script", F.when(word.rlike(f"[{T.LOOKALIKE_FROM}]"), R.CRITICAL).otherwise(R.HIGH), "mixed", word))]),
     )
-    return F.when(T.plain(text) | ~odd, F.expr(NONE)).otherwise(every)
+    return F.when(T.plain(text) | ~odd, F.expr(NONE)).otherwise(found)
+
+
+def disguised(text: Column) -> Column:
+    """A signal if three letters or more are written in another alphabet that normalisation takes for ASCII."""
+    return T.let(T.disguised_letters(text), lambda n: _kept([F.when(n >= 3, signal("disguised_text", R.HIGH, "nfkc", F.concat(n.cast("string"), F.lit(" letters"))))]))
 
 
 def layout(text: Column) -> Column:
@@ -241,32 +274,33 @@ def layout(text: Column) -> Column:
     )
 
 
-def _strong(inner: Column) -> Column:
-    """Whether a text holds a phrase of HIGH severity or more; the rules stand in the plan once, bound to the text."""
-    return F.exists(F.concat(by_pattern(inner, F.lower(inner), R.PHRASES), squashed(inner)), lambda s: s["severity"] >= R.HIGH)
+PIECE = "struct<kind:string,label:string,text:string,shown:string>"
+
+
+def piece(kind: str, label: Column | str, text: Column, shown: Column) -> Column:
+    """A text that is read along with the one that holds it: what it is, and what of it is shown."""
+    name = label if isinstance(label, Column) else F.lit(label)
+    return F.struct(F.lit(kind).alias("kind"), name.alias("label"), text.alias("text"), shown.alias("shown"))
 
 
 def hidden_markup(text: Column) -> Column:
-    """Every hidden element: CRITICAL if what it holds is itself a HIGH phrase, else MEDIUM."""
-    none = F.expr("cast(array() as array<struct<name:string,inner:string>>)")
+    """Every hidden element as a piece: its kind, and what it holds."""
 
     def each(name: str, pattern: str) -> Column:
-        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(name).alias("name"), x.alias("inner")))
-        return F.when(text.rlike(pattern), found).otherwise(none)
+        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: piece("markup", name, T.fold(x), x))
+        return F.when(text.rlike(pattern), found).otherwise(F.expr(f"cast(array() as array<{PIECE}>)"))
 
-    every = F.concat(*(each(n, p) for n, p in R.MARKUP))
-    return F.transform(every, lambda x: signal("hidden_markup", F.when(_strong(x["inner"]), R.CRITICAL).otherwise(R.MEDIUM), x["name"], x["inner"]))
+    return F.concat(*(each(n, p) for n, p in R.MARKUP))
 
 
 def escape_run(text: Column) -> Column:
-    """The first of the five escape forms: CRITICAL if what it spells is a phrase, else HIGH."""
+    """The first run of the first of the five escape forms as a piece: its form, and what it spells (empty if nothing)."""
     cases = None
     for n, p in enumerate(R.ESCAPES):
         run = F.regexp_extract(text, p, 0)
-        found = F.struct(F.lit(f"form_{n}").alias("form"), run.alias("run"), decoded_escape(run, n).alias("spelt"))
+        found = piece("escape", f"form_{n}", F.coalesce(decoded_escape(run, n), F.lit("")), run)
         cases = F.when(text.rlike(p), found) if cases is None else cases.when(text.rlike(p), found)
-    first = F.array_compact(F.array(cases))
-    return F.transform(first, lambda x: signal("escape_run", F.when(F.coalesce(_strong(x["spelt"]), F.lit(False)), R.CRITICAL).otherwise(R.HIGH), x["form"], x["run"]))
+    return F.array_compact(F.array(cases))
 
 
 def decoded_escape(run: Column, form: int) -> Column:
@@ -275,9 +309,13 @@ def decoded_escape(run: Column, form: int) -> Column:
     if form == 0:
         return F.array_join(F.transform(F.regexp_extract_all(run, F.lit(r"\\u([0-9a-fA-F]{4})"), F.lit(1)), point), "")
     if form == 1:
-        return F.try_to_binary(F.regexp_replace(run, r"\\x", ""), F.lit("hex")).cast("string")
+        return _valid(F.try_to_binary(F.regexp_replace(run, r"\\x", ""), F.lit("hex")).cast("string"))
     if form == 2:
         return F.array_join(F.transform(F.regexp_extract_all(run, F.lit("&#([0-9]{2,7});"), F.lit(1)), lambda d: point(F.hex(F.least(d.cast("long"), F.lit(0x10FFFF))))), "")
     if form == 3:
         return F.array_join(F.transform(F.regexp_extract_all(run, F.lit("(?i)&#x([0-9a-f]{2,6});"), F.lit(1)), point), "")
-    return F.try_to_binary(F.regexp_replace(run, "%", ""), F.lit("hex")).cast("string")
+    return _valid(F.try_to_binary(F.regexp_replace(run, "%", ""), F.lit("hex")).cast("string"))
+
+
+def _valid(text: Column) -> Column:
+    return F.when(F.is_valid_utf8(text), text)

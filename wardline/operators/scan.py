@@ -16,21 +16,49 @@ def canonical(df: DataFrame, text: str = "text", full: bool = False) -> DataFram
     return df.withColumn("low", F.lower("canon"))
 
 
-def scan_texts(texts: DataFrame, keys: list[str], text: str = "text", full: bool = False, readings: bool = True) -> DataFrame:
-    """All findings of a table of texts: keys, detector, severity, rule, excerpt. No shuffle but to tell readings apart."""
+def pieces(texts: DataFrame, keys: list[str], text: str = "text", full: bool = False, readings: bool = True) -> DataFrame:
+    """Every text and what it hides as rows of their own: keys, _kind (text, markup, escape, reading), _label, _piece (what
+    the detectors read), _shown; the raw text beside itself, the canonical text beside its readings."""
     rows = canonical(texts.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_text")), "_text", full)
-    rows = detect.destinations(rows)
     raw = F.col("_text")
-    every = F.concat(
-        detect.characters(raw), detect.phrases(F.col("canon"), F.col("low")), F.col("destinations"), decode.base64_runs(raw), detect.escape_run(raw), detect.hidden_markup(raw), detect.layout(raw)
-    )
-    direct = T.expand(rows, [*keys], every)
-    if full:
-        disguised = rows.filter(~raw.rlike(r"\A\p{ASCII}*\z")).withColumn("_n", T.disguised_letters(raw)).filter("_n >= 3")
-        direct = direct.unionByName(disguised.select(*keys, F.lit("disguised_text").alias("detector"), F.lit(R.HIGH).alias("severity"), F.lit("nfkc").alias("rule"), F.concat(F.col("_n").cast("string"), F.lit(" letters")).alias("excerpt")))
+    every = [F.array(detect.piece("text", "", F.col("canon"), F.lit(""))), detect.escape_run(raw), detect.hidden_markup(raw)]
     if readings:
-        direct = direct.unionByName(decode.revealed(rows, keys, "_text").drop("label"))
-    return direct
+        every.append(decode.folded(decode.views(raw)))
+    held = rows.select(*keys, raw, "canon", raw.rlike("(?:%[0-9a-fA-F]{2}){4}").alias("_packed"), F.explode_outer(F.concat(*every)).alias("_p"))
+    kind = F.col("_p.kind")
+    return held.select(
+        *keys, kind.alias("_kind"), F.col("_p.label").alias("_label"), F.col("_p.text").alias("_piece"), F.col("_p.shown").alias("_shown"), "_packed",
+        F.when(kind == "text", raw).alias("_raw"), F.when(kind == "reading", F.col("canon")).alias("_canon"),
+    )
+
+
+def signals(rows: DataFrame) -> DataFrame:
+    """``pieces`` with _signals. Each detector stands in the plan once, for texts, readings, and hidden pieces alike."""
+    aimed = F.when((F.col("_kind") == "reading") & F.col("_label").isin(*decode.REORDERED), F.lit("")).otherwise(F.col("_piece"))
+    rows = detect.destinations(rows.withColumn("_read", aimed), "_read", "_aims", width=1 << 30)
+    rows = rows.withColumn("_low", F.lower("_piece"))
+    said = detect.phrases(F.col("_piece"), F.col("_low"))
+    squashed = F.when(F.col("_kind") == "text", F.expr(detect.NONE)).otherwise(detect.squashed(F.col("_piece")))
+    rows = rows.withColumn("_said", F.concat(said, squashed))
+    raw, kind, both = F.col("_raw"), F.col("_kind"), F.concat("_said", "_aims")
+    strong = F.exists(both, lambda s: s["severity"] >= R.HIGH)
+    aims = F.transform("_aims", lambda s: s.withField("excerpt", T.clip(s["excerpt"])))
+    whole = F.concat(detect.characters(raw), detect.disguised(raw), "_said", aims, decode.base64_runs(raw), detect.layout(raw))
+    markup = F.array(detect.signal("hidden_markup", F.when(strong, R.CRITICAL).otherwise(R.MEDIUM), F.col("_label"), F.col("_shown")))
+    escape = F.array(detect.signal("escape_run", F.when(F.size(both) > 0, R.CRITICAL).otherwise(R.HIGH), F.col("_label"), F.col("_shown")))
+    found = F.when(kind == "text", whole).when(kind == "markup", markup).when(kind == "escape", escape).otherwise(decode.revealing(F.col("_said"), F.col("_aims")))
+    return rows.withColumn("_signals", found)
+
+
+def scan_texts(texts: DataFrame, keys: list[str], text: str = "text", full: bool = False, readings: bool = True) -> DataFrame:
+    """All findings of a table of texts: keys, detector, severity, rule, excerpt. One pass and no shuffle; ``full`` reads
+    texts in their compatibility form."""
+    return T.expand(signals(pieces(texts, keys, text, full, readings)), [*keys], F.col("_signals"))
+
+
+def revealed(texts: DataFrame, keys: list[str], text: str = "text", full: bool = False) -> DataFrame:
+    """keys, label, detector, severity, rule, excerpt: what readings show that the texts themselves do not."""
+    return T.expand(signals(pieces(texts, keys, text, full).filter("_kind = 'reading'")), [*keys, F.col("_label").alias("label")], F.col("_signals"))
 
 
 def scan(texts: DataFrame, keys: list[str], text: str = "text", **options) -> DataFrame:
@@ -45,8 +73,40 @@ def name_of(action: str = "action", name: str = "name") -> Column:
 DESCRIPTIONS = ("description", "actionDescription", "action_description")
 
 
+def tool_records(records: DataFrame, record: str = "record") -> DataFrame:
+    """toolkit, action, name, the descriptions, and payload, from JSON records of actions (toolkit and ``record``).
+
+    Of the two names a payload description goes by, payloadDescription counts if the record has it at all, null included.
+    """
+    v = F.try_parse_json(record)
+    text = lambda k: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")) == "STRING", F.try_variant_get(v, f"$.{k}", "string"))
+    keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+    value = lambda k: F.to_json(F.try_variant_get(v, f"$.{k}", "variant"))
+    payload = F.when(F.array_contains(keys, "payloadDescription"), value("payloadDescription")).otherwise(value("payload_description"))
+    return records.select("toolkit", text("action").alias("action"), text("name").alias("name"), *(text(c).alias(c) for c in DESCRIPTIONS), F.nullif(payload, F.lit("null")).alias("payload"))
+
+
+def toolkit_tools(toolkits: DataFrame, record: str = "record") -> DataFrame:
+    """The tools of JSON records of toolkits, as ``tool_records`` gives them. Actions are a list, or an object whose keys
+    are their names."""
+    actions = F.get_json_object(record, "$.actions")
+    listed = F.from_json(actions, "array<string>")
+    named = F.transform(F.map_entries(F.from_json(actions, "map<string,string>")), lambda e: F.concat(F.lit('{"action":'), F.to_json(F.struct(e["key"].alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(e["key"].alias("k")))) - 6), F.when(e["value"].rlike(r"\A\{\s*\}\z"), F.lit("}")).otherwise(F.concat(F.lit(","), F.regexp_replace(e["value"], r"\A\{", "")))))
+    every = F.when(actions.startswith("{"), named).otherwise(F.coalesce(listed, F.array().cast("array<string>")))
+    kit = F.coalesce(F.get_json_object(record, "$.name"), F.lit("<unnamed toolkit>"))
+    return tool_records(toolkits.select(kit.alias("toolkit"), F.explode(every).alias("record")))
+
+
+def toolkit_texts(toolkits: DataFrame, record: str = "record") -> DataFrame:
+    """toolkit, action (null), place, kind, attribute, text of the toolkits' own descriptions."""
+    kit = F.coalesce(F.get_json_object(record, "$.name"), F.lit("<unnamed toolkit>"))
+    told = [F.struct(F.lit(c).alias("place"), F.lit("description").alias("kind"), F.lit("").alias("attribute"), F.get_json_object(record, f"$.{c}").alias("text")) for c in ("description", "toolkitDescription")]
+    rows = T.expand(toolkits, [kit.alias("toolkit"), F.lit(None).cast("string").alias("action")], F.array(*told))
+    return rows.filter(F.coalesce(F.col("text"), F.lit("")) != "")
+
+
 def flatten_tools(tools: DataFrame) -> DataFrame:
-    """toolkit, action, place, kind, attribute, text: one row per text of a tool.
+    """toolkit, action, place, kind, attribute, text: one row per text of a tool, its name among them.
 
     ``tools`` has toolkit, action, name, any of the three description columns, and payload, a JSON string: a text, or an
     object of fields whose values are texts or objects of attributes. Texts nested deeper than an attribute are scanned
@@ -54,6 +114,7 @@ def flatten_tools(tools: DataFrame) -> DataFrame:
     """
     base = tools.withColumn("_action", name_of()).withColumn("_v", F.try_parse_json("payload"))
     told = [F.struct(F.lit(c).alias("place"), F.lit("description").alias("kind"), F.lit("").alias("attribute"), F.col(c).alias("text")) for c in DESCRIPTIONS if c in tools.columns]
+    told.append(F.struct(F.lit("action").alias("place"), F.lit("name").alias("kind"), F.lit("").alias("attribute"), F.col("_action").alias("text")))
     described = T.expand(base, ["toolkit", F.col("_action").alias("action")], F.array(*told))
     plain = base.filter(F.col("payload").isNotNull() & (F.col("_v").isNull() | (F.schema_of_variant("_v") == "STRING")))
     whole = plain.select("toolkit", F.col("_action").alias("action"), F.lit("payload").alias("place"), F.lit("payload").alias("kind"), F.lit("").alias("attribute"), F.coalesce(F.try_variant_get("_v", "$", "string"), F.col("payload")).alias("text"))
@@ -61,7 +122,7 @@ def flatten_tools(tools: DataFrame) -> DataFrame:
     fields = base.filter(F.schema_of_variant("_v").startswith("OBJECT")).select("toolkit", F.col("_action").alias("action"), F.col("_v"))
     fields = fields.lateralJoin(fields.sparkSession.tvf.variant_explode(F.col("_v").outer())).select("toolkit", "action", F.col("key").alias("field"), F.col("value").alias("fv")) if hasattr(fields, "lateralJoin") else fields.selectExpr("toolkit", "action", view)
     fields = fields.withColumn("_at", F.concat(F.lit("payload."), F.col("field")))
-    names = fields.select("toolkit", "action", "_at", F.lit("name").alias("kind"), F.lit("").alias("attribute"), F.col("field").alias("text"))
+    names = fields.select("toolkit", "action", "_at", F.lit("field_name").alias("kind"), F.lit("").alias("attribute"), F.col("field").alias("text"))
     value = F.schema_of_variant("fv")
     flat = fields.filter(value == "STRING").select("toolkit", "action", "_at", F.lit("field").alias("kind"), F.lit("").alias("attribute"), F.try_variant_get("fv", "$", "string").alias("text"))
     objects = fields.filter(value.startswith("OBJECT")).select("toolkit", "action", "_at", "fv")
@@ -74,25 +135,31 @@ def flatten_tools(tools: DataFrame) -> DataFrame:
     return described.unionByName(whole).unionByName(rest).filter(F.coalesce(F.col("text"), F.lit("")) != "")
 
 
-#: What a field's name alone may be found guilty of.
+#: What an action's name may be found guilty of.
 NAME_DETECTORS = tuple(d for d, c in R.CATEGORY_OF.items() if c == "structure") + ("action_like_name",)
 
 
-def scan_tools(tools: DataFrame) -> DataFrame:
-    """toolkit, action, place, detector, severity, rule, excerpt of every text of every tool.
+def scan_toolkits(toolkits: DataFrame, record: str = "record") -> DataFrame:
+    """``scan_tools`` of all tools of JSON records of toolkits, and of the toolkits' own descriptions (action null)."""
+    return scan_tools(toolkit_tools(toolkits, record), toolkit_texts(toolkits, record))
+
+
+def scan_tools(tools: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """toolkit, action, place, detector, severity, rule, excerpt of every text of every tool, and of ``more`` texts.
 
-    Names of fields are only held against a narrow list; a destination in a prefilled value is HIGH at least; a field
+    An action's name is only held against a narrow list; a destination in a prefilled value is HIGH at least; a field
     whose name asks for silence is a finding by itself.
     """
     keys = ["toolkit", "action", "place", "kind", "attribute"]
     # Payloads fan out unevenly, so texts are dealt anew; behind the exchange the detectors stand in the plan once, not in
     # every branch that texts come from, and both uses below read the same exchange.
-    texts = flatten_tools(tools).hint("rebalance")
+    texts = flatten_tools(tools)
+    texts = (texts if more is None else texts.unionByName(more)).hint("rebalance")
     found = scan_texts(texts, keys)
     kept = found.filter((F.col("kind") != "name") | F.col("detector").isin(*NAME_DETECTORS))
     destination = F.col("detector").isin(*(d for d, c in R.CATEGORY_OF.items() if c == "destination"))
     lifted = F.when(destination & F.col("attribute").isin(*R.PREFILLED), F.greatest("severity", F.lit(R.HIGH))).otherwise(F.col("severity"))
-    silent = texts.filter((F.col("kind") == "name") & F.col("text").rlike(R.SILENCING)).select(
+    silent = texts.filter((F.col("kind") == "field_name") & F.col("text").rlike(R.SILENCING)).select(
         *keys, F.lit("silencing_field").alias("detector"), F.lit(R.MEDIUM).alias("severity"), F.lit("silencing").alias("rule"), F.col("text").alias("excerpt")
     )
     return kept.withColumn("severity", lifted).unionByName(silent).drop("kind", "attribute")
