@@ -36,8 +36,6 @@ _FITS = {k: rf"\A\(?[0-9](?:{_BETWEEN}[0-9]){{{a - 1},{b - 1}}}(?![0-9])" for k,
 ROUNDS = 5
 #: Different seeds a pattern must introduce, and the confidence it must reach, to discover.
 SEEDS, SURE = 3, 0.6
-#: Words of patterns up to this number are broadcast to the texts they are counted in; more are shuffled.
-BROADCAST_WORDS = 100_000
 #: Share of the documents with a pattern's word in which it introduces an identifier; common words fall far below.
 SPECIFIC = 0.2
 
@@ -179,7 +177,7 @@ def _seeds(kind: str) -> Column:
     return F.transform(kind, lambda x: F.struct(x["left"].alias("left"), F.lit(kind).alias("kind"), F.lower(x["hit"]).alias("hit"), F.lit(1.0).alias("seed")))
 
 
-def sure_patterns(found: DataFrame, docs: DataFrame, text: str, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def sure_patterns(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """left, kind, confidence of the patterns that discover, from the ``scanned`` rows of ``docs``."""
     others = F.transform("cands", lambda x: F.struct(x["left"].alias("left"), x["kind"].alias("kind"), F.lower(x["hit"]).alias("hit"), F.lit(0.0).alias("seed")))
     # One edge per pattern and instance, however often they meet, with the number of rows that have it.
@@ -191,11 +189,10 @@ def sure_patterns(found: DataFrame, docs: DataFrame, text: str, broadcast_words:
     # Only words that introduce enough different instances can become patterns, whatever the rounds bring.
     able = edges.groupBy("left", "kind").agg(F.count(F.lit(1)).alias("instances"), F.sum("rows").alias("rows")).filter(F.col("instances") >= SEEDS)
     able = written(able.select("left", "kind", "rows"), "pii-words")
-    words = able.select("left").distinct()
-    words = F.broadcast(words) if words.count() <= broadcast_words else words.hint("merge")
-    # Texts per word are summed where the texts are: a common word is one row of each task.
+    # Texts per word are summed where the texts are, before words meet patterns: a common word is one row of each task.
+    # Not only the able words' texts are counted: these words grow faster than the input, and with them what would be read.
     plain = F.lower(F.regexp_replace(F.coalesce(docs[text], F.lit("")), r"[\p{Punct}]+", ""))
-    each = docs.select(F.explode(F.array_distinct(F.split(plain, r"[\x20\x09-\x0D]+", -1))).alias("left")).join(words, "left", "left_semi")
+    each = docs.select(F.explode(F.array_distinct(F.split(plain, r"[\x20\x09-\x0D]+", -1))).alias("left"))
     counted = each.groupBy("left").agg(F.count(F.lit(1)).alias("texts"))
     special = able.join(counted, "left").filter(F.col("rows") >= SPECIFIC * F.col("texts")).select("left", "kind")
     edges = written(edges.join(special, ["left", "kind"]).select("left", "kind", "hit", "seed"), "pii-edges")
