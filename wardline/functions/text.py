@@ -84,7 +84,8 @@ def has_any(low: Column, words: tuple[str, ...]) -> Column:
 def fold(text: Column) -> Column:
     """Invisible characters removed and look-alike letters replaced: the part of canonicalisation that needs no Python."""
     whole = F.coalesce(text, F.lit(""))
-    return F.when(plain(whole), whole).otherwise(F.translate(F.regexp_replace(whole, STRIPPED, ""), LOOKALIKE_FROM, LOOKALIKE_TO))
+    # What is removed or replaced lies beyond ASCII and Latin-1's letters; few texts have any of it.
+    return F.when(plain(whole), whole).when(beyond(whole) == "", whole).otherwise(F.translate(F.regexp_replace(whole, STRIPPED, ""), LOOKALIKE_FROM, LOOKALIKE_TO))
 
 
 _FOLD = str.maketrans(_LOOKALIKES)
@@ -122,6 +123,22 @@ def with_canonical(df: DataFrame, text: str, out: str = "canon") -> DataFrame:
     return odd.withColumn("_odd", canonicalised("_odd")).withColumn(out, F.coalesce("_odd", fold(whole))).drop("_odd")
 
 
+def sql_of(column: Column) -> str:
+    """The SQL of a column, for expressions that are written as one string: a rule table of hundreds of nodes then takes
+    one call to the JVM, not one for each node."""
+    return str(column)[len("Column<'") : -len("'>")]
+
+
+def literal(text: str) -> str:
+    """A Spark SQL string."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def clip_sql(text: str, n: int = 90) -> str:
+    """``clip`` as SQL."""
+    return f"transform(array(trim(regexp_replace({text}, '[ \\\\t\\\\r\\\\n\\\\f\\\\x0b]+', ' '))), f -> CASE WHEN length(f) > {n} THEN concat(left(f, {n - 1}), '…') ELSE f END)[0]"
+
+
 def clip(text: Column, n: int = 90) -> Column:
     """White space collapsed, cut at ``n`` with an ellipsis."""
     flat = F.trim(F.regexp_replace(text, r"[ \t\r\n\f\x0b]+", " "))

@@ -25,47 +25,55 @@ def _kept(items: Iterable[Column]) -> Column:
     return F.array_compact(F.array(*items)) if items else F.expr(NONE)
 
 
-def rule_hit(canon: Column, low: Column, rule: R.Rule) -> Column:
+def _hit_sql(canon: str, low: str, rule: R.Rule) -> str:
     """Whether a rule matches: one of its words as a plain substring first, then the expression."""
-    gate = None
-    for word in rule.gate:
-        one = F.contains(low, F.lit(word))
-        gate = one if gate is None else gate | one
-    return gate & canon.rlike(rule.regex)
+    gate = " OR ".join(f"contains({low}, {T.literal(w)})" for w in rule.gate)
+    return f"(({gate}) AND rlike({canon}, {T.literal(rule.regex)}))"
+
+
+def rule_hit(canon: Column, low: Column, rule: R.Rule) -> Column:
+    return F.expr(_hit_sql(T.sql_of(canon), T.sql_of(low), rule))
+
+
+def _signal_sql(detector: str, severity: int | str, rule: str, excerpt: str) -> str:
+    return f"named_struct('detector', '{detector}', 'severity', {severity}, 'rule', {rule}, 'excerpt', {T.clip_sql(excerpt)})"
+
+
+def _cases(canon: Column, low: Column, rules: Iterable[R.Rule]) -> list[str]:
+    c, l = T.sql_of(canon), T.sql_of(low)  # noqa: E741
+    return [f"WHEN {_hit_sql(c, l, r)} THEN {_signal_sql(r.detector, r.severity, T.literal(r.id), f'regexp_extract({c}, {T.literal(r.regex)}, 0)')}" for r in rules]
 
 
 def by_pattern(canon: Column, low: Column, rules: Iterable[R.Rule]) -> Column:
     """One signal per rule that matches."""
-    return _kept(F.when(rule_hit(canon, low, r), signal(r.detector, r.severity, r.id, F.regexp_extract(canon, r.regex, 0))) for r in rules)
+    return F.expr(f"array_compact(array({', '.join(f'CASE {x} END' for x in _cases(canon, low, rules))}))")
 
 
 def call_direction(canon: Column, low: Column) -> Column:
     """One signal, of the match that begins first (of several, the rule that comes first in the table): LOW if the text
     goes on with this or it, else MEDIUM."""
+    c, l = T.sql_of(canon), T.sql_of(low)  # noqa: E741
 
-    def first(r: R.Rule) -> Column:
-        parts = F.split(canon, r.regex, 2)
-        hit = F.regexp_extract(canon, r.regex, 0)
-        about = F.element_at(parts, 2).rlike(r"\A[ \t\r\n]*(?:this|it)(?:[^A-Za-z0-9_]|\z)")
-        found = F.struct(F.length(parts[0]).alias("at"), F.lit(r.id).alias("rule"), hit.alias("hit"), F.coalesce(about, F.lit(False)).alias("own"))
-        return F.when(rule_hit(canon, low, r), found)
+    def first(r: R.Rule) -> str:
+        p = T.literal(r.regex)
+        about = f"coalesce(rlike(element_at(split({c}, {p}, 2), 2), {T.literal(_OWN)}), false)"
+        return f"CASE WHEN {_hit_sql(c, l, r)} THEN named_struct('at', length(split({c}, {p}, 2)[0]), 'rule', {T.literal(r.id)}, 'hit', regexp_extract({c}, {p}, 0), 'own', {about}) END"
 
-    every = F.array_compact(F.array(*map(first, R.DIRECTION)))
-    earliest = let_least(every)
+    earliest = let_least(F.expr(f"array_compact(array({', '.join(map(first, R.DIRECTION))}))"))
     return F.transform(earliest, lambda x: signal("call_direction", F.when(x["own"], R.LOW).otherwise(R.MEDIUM), x["rule"], x["hit"]))
 
 
+_OWN = r"\A[ \t\r\n]*(?:this|it)(?:[^A-Za-z0-9_]|\z)"
+
+
 def let_least(found: Column) -> Column:
     """Of structs that begin with ``at``, an array of the first with the least one, or of none."""
     return T.let(found, lambda a: F.slice(F.filter(a, lambda x: x["at"] == F.array_min(F.transform(a, lambda y: y["at"]))), 1, 1))
 
 
 def once(canon: Column, low: Column, rules: Iterable[R.Rule]) -> Column:
-    cases = None
-    for r in rules:
-        found = signal(r.detector, r.severity, r.id, F.regexp_extract(canon, r.regex, 0))
-        cases = F.when(rule_hit(canon, low, r), found) if cases is None else cases.when(rule_hit(canon, low, r), found)
-    return _kept([cases])
+    """One signal at most, of the first rule in the table that matches."""
+    return F.expr(f"array_compact(array(CASE {' '.join(_cases(canon, low, rules))} END))")
 
 
 def deprecation(canon: Column, low: Column) -> Column:
