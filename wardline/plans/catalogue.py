@@ -784,7 +784,7 @@ def unregistered_calls(spark, sf):
     return checked.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("checked_records", f"WITH {_CHECKED} SELECT call_id, action, decision, sha256('{{\"amount\":\"' || magnitude::DECIMAL(18,2) || '\"}}') AS payload_digest FROM checked")
+@register("checked_records", f"WITH {_CHECKED} SELECT call_id, action, decision, sha256('{{\"amount\":\"' || magnitude || '\"}}') AS payload_digest FROM checked")
 def checked_records(spark, sf):
     """What a ledger holds of checked calls: of payloads only digests."""
     g = _gate(spark)
