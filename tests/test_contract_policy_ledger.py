@@ -195,6 +195,9 @@ def test_branches(spark):
     assert rows == {("r", 0): (1, "fires"), ("r", 1): (0, "unreachable"), ("r", 2): (0, "untested")}
     locked = reach.locked_out(spark, spark.createDataFrame([("前foo后",), (" bar ",)], "text string"), [("bad", r"(?:^|[^x后前])(?:foo|bar)(?:[^x后前]|$)")]).orderBy("branch").collect()
     assert [(r["strict"], r["relaxed"], r["verdict"]) for r in locked] == [(0, 1, "locked_out"), (1, 0, "fires")]
+    # The beginning of a line is no word edge.
+    line = reach.branches([("r", r"(^|\n)(?:foo|bar):")])
+    assert [b.relaxed for b in line] == [b.whole for b in line] and len(line) == 2
     assert reach.self_test(spark)
 
 

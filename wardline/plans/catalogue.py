@@ -547,6 +547,17 @@ def tool_texts(spark, sf):
     return scan.flatten_tools(tools(spark, sf)).groupBy("action").agg(F.count(F.lit(1)).alias("n_texts"))
 
 
+@register(
+    "tool_catalogue",
+    "WITH t AS (SELECT p_partkey % 5 AS k, p_partkey % 7 AS kit FROM part) SELECT count(DISTINCT kit) AS toolkits, count(*) AS actions, CAST(sum(CASE k WHEN 0 THEN 1 + 4 WHEN 1 THEN 1 + 4 WHEN 2 THEN 2 WHEN 3 THEN 1 + 2 ELSE 1 END) AS BIGINT) AS fields FROM t",
+)
+def tool_catalogue(spark, sf):
+    """Toolkits, actions, and texts that describe something (names left out)."""
+    texts = scan.flatten_tools(tools(spark, sf))
+    told = ~F.col("kind").isin("name", "field_name")
+    return texts.agg(F.countDistinct("toolkit").alias("toolkits"), F.countDistinct("action").alias("actions"), F.count_if(told).alias("fields"))
+
+
 @register("silencing_fields", "SELECT 'tool_' || p_partkey AS action, CASE WHEN p_partkey % 5 = 0 THEN 'quiet' ELSE 'skip_confirmation' END AS excerpt FROM part WHERE p_partkey % 5 IN (0, 3)")
 def silencing_fields(spark, sf):
     return scan.scan_tools(tools(spark, sf)).filter("detector = 'silencing_field'").select("action", "excerpt")
@@ -896,8 +907,8 @@ for _key, _sql in {
     QUERIES[f"ledger_verify_{_key}"], ORACLE_SQL[f"ledger_verify_{_key}"] = _tampered(_key), f"WITH {_LENGTHS} {_sql}"
 
 
-_REACH = [(r.id, r.regex) for r in (*R.ROLE, *R.OVERRIDE, *R.SOFT, *R.CONCEAL, *R.PARAMETER, *R.COERCION, *R.GATE, *R.DIRECTION, *R.DEPRECATED)]
-_BRANCHES = reach.branches(_REACH)
+RULES = [(r.id, r.regex) for r in (*R.ROLE, *R.OVERRIDE, *R.SOFT, *R.CONCEAL, *R.PARAMETER, *R.COERCION, *R.GATE, *R.DIRECTION, *R.DEPRECATED)]
+_BRANCHES = reach.branches(RULES)
 
 
 def _branch_sql(second: str, columns: str) -> str:
@@ -912,9 +923,9 @@ def _branch_sql(second: str, columns: str) -> str:
 
 @register("rule_reachability", _branch_sql("bare", "n1 AS texts, CASE WHEN n1 > 0 THEN 'fires' WHEN n2 > 0 THEN 'unreachable' ELSE 'untested' END AS verdict"))
 def rule_reachability(spark, sf):
-    return reach.reachability(spark, planted(spark, sf), _REACH)
+    return reach.reachability(spark, planted(spark, sf), RULES)
 
 
 @register("rule_edges", _branch_sql("relaxed", "n1 AS strict, n2 AS relaxed, CASE WHEN n1 > 0 THEN 'fires' WHEN n2 > 0 THEN 'locked_out' ELSE 'untested' END AS verdict"))
 def rule_edges(spark, sf):
-    return reach.locked_out(spark, planted(spark, sf), _REACH)
+    return reach.locked_out(spark, planted(spark, sf), RULES)
