@@ -358,7 +358,9 @@ def test_targets(sizes):
 def test_mix_takes_its_targets(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["a", "b", None])) for i in range(400)] + [(900, None, "a"), (901, "", "zero"), (1, "w w", "a")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumnRenamed("x", "y")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for clash in ("size", "source_size", "target", "taken", "_source", "_key", "_step", "_no", "_name", "_range"):
+        df = df.withColumn(clash, F.lit("x"))
     out = mixing.mix(df).collect()
     assert len(out) == len(rows)
     by = {}

@@ -154,3 +154,7 @@ def test_odd_pages(spark, model):
     assert len(out) == 5 and [r["n_chars"] for r in out if r["page_id"] in (1, 2, 4)] == [0, 0, 0]
     assert len({r["text"] for r in out if r["page_id"] == 3}) == 1
     assert html_extract.extract(df.filter("false"), model).count() == 0
+    # A page of more than a megabyte is read to its end.
+    page = "<body><nav><a href=x>Home</a></nav><article>" + "".join(f"<p>Sentence number {i} of a very long article, read to the end.</p>" for i in range(18_000)) + "</article></body>"
+    text = html_extract.main_texts(model, [page])[0]
+    assert len(page) > 1_000_000 and "Sentence number 17999 of" in text and text.count("Sentence number") > 17_900

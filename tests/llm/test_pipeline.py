@@ -82,6 +82,22 @@ def test_stages_take_empty_tables(spark, small):
         assert stage(spark, none, small).count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark, small):
+    names = ["_kept", "_key", "_k", "_id", "_in", "_row", "lang_pred", "score", "component", "rep", "extra", "email", "item_id", "hash"]
+    texts = ["the and of that with this from one", "the and of that with this from one", "der die und nicht mit auch sich", None, "write to a@b.example and the others of that", "the " * 30_000, ""]
+    rows = [(i if i != 2 else None, t, "en" if i % 2 else None, None, i, *(f"{n}{i}" for n in names)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        kept[name] = {int(r["_kept"][5:]) for r in found}
+        assert all(r[n] == f"{n}{r['_kept'][5:]}" for r in found for n in names), name
+    assert kept["language ID"] == {0, 1, 2, 4, 5} and kept["near-duplicate removal"] == {0, 2, 3, 4, 5, 6} and kept["benchmark decontamination"] == kept["personal data"] == set(range(7))
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() == 7
+
+
 def test_query_is_the_chain(spark, small):
     import __spark_entry__
 

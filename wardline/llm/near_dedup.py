@@ -268,7 +268,7 @@ def deduplicate(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFram
         met = found.join(ids, F.col("doc_id") == F.col("_k"))
         kept = met.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("_k").alias("c"))).alias("x")).select(F.col("x.c").alias(key))
     kept = kept.select(F.col(key).alias("_kept")).hint("merge")
-    return keyed.join(kept, keyed[key] == F.col("_kept"), "left_semi").select(*(keyed[c] for c in docs.columns))
+    return keyed.join(kept, keyed[key] == kept["_kept"], "left_semi").select(*(keyed[c] for c in docs.columns))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
