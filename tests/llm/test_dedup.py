@@ -1,6 +1,8 @@
 """Operators 1 and 2 against plain Python, and their parts."""
 
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -192,3 +194,41 @@ def test_a_megabyte_in_one_document():
     docs = [(1, long), (2, long[400_000:500_000]), (3, "x" * 300_000), (4, "ab " * 100_000)]
     assert removed_by(windows.WordTrees(), docs, 3) == want(docs, brute.word_dedup)
     assert removed_by(windows.ByteArrays(), docs, 3) == want(docs, brute.byte_dedup)
+
+
+def test_hashes_of_a_bucket_meet_as_plain_sets_do():
+    rng = random.Random(8)
+    lists = [sorted({rng.randrange(1 << 63) if rng.random() < 0.3 else rng.randrange(40) for _ in range(rng.randrange(12))}) for _ in range(30)]
+    times = Counter(h for own in lists for h in own)
+    cuts = np.cumsum([0, *map(len, lists)])
+    found = anchors.meet(pa.table({"chunk": range(30), "blob": anchors.cut(np.array(sum(lists, []), np.uint64), cuts)}))
+    got = {c: np.frombuffer(b, np.uint64).tolist() for c, b in zip(found["chunk"].to_pylist(), found["blob"].to_pylist())}
+    assert got == {c: both for c, own in enumerate(lists) if (both := [h for h in own if times[h] > 1])}
+
+
+def test_a_bucket_costs_by_its_hashes_not_by_its_chunks():
+    """A bucket keeps its size as the input grows, but more chunks share it: 80 at first, 2,520 at 6 GB."""
+    hashes = np.unique(np.random.default_rng(2).integers(0, 1 << 40, 160_000, dtype=np.uint64))
+    hashes = np.concatenate([hashes, hashes])
+
+    def seconds(chunks):
+        cuts = np.linspace(0, len(hashes), chunks + 1).astype(np.int64)
+        table = pa.table({"chunk": range(chunks), "blob": anchors.cut(hashes, cuts)})
+        began = time.process_time()
+        assert anchors.meet(table).num_rows == chunks
+        return time.process_time() - began
+
+    assert min(seconds(2_520) for _ in range(3)) < 3 * min(seconds(80) for _ in range(3))
+
+
+def test_messages_come_back_as_they_were_sent():
+    numbers = np.random.default_rng(3).integers(-(1 << 31), 1 << 31, (7, 50)).astype(np.int32)
+    for some, data in ((numbers, b"abc" * 100), (numbers[:, :1], b""), (numbers[:, [4, 2]], b"\0")):
+        back, text = anchors.unpack(anchors.pack(some, data))
+        assert (back == some).all() and text == data
+
+
+def test_many_small_chunks_and_ids_of_any_size():
+    docs = [(d * (1 << 33) - (1 << 62) if d is not None else None, t) for d, t in corpus(9)]
+    assert removed_by(windows.WordTrees(), docs, 60) == want(docs, brute.word_dedup)
+    assert removed_by(windows.ByteArrays(), docs, 60) == want(docs, brute.byte_dedup)

@@ -23,11 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import groups_for, small_batches
+from .tokens import buffer_of
 
 #: Bytes of text to a chunk, on average; a document is never cut, so the largest one bounds a chunk from below.
 CHUNK_BYTES = 4_000_000
 #: Units whose anchors are found at once; places within a piece must fit 24 bits.
 PIECE = 1 << 20
+#: There are as many blobs as pairs of chunks and groups, so their fixed cost counts: these are made once.
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
@@ -75,33 +78,45 @@ def anchor_runs(grams_of, first: np.ndarray, length: int, k: int) -> tuple[np.nd
     return tuple(map(np.concatenate, (lows, counts, places, hashes)))
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of fixed-width numbers as one compressed blob."""
-    head = np.array([len(arrays)] + [x for a in arrays for x in (a.dtype.num, len(a))], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+def pack(numbers: np.ndarray, data: bytes) -> bytes:
+    """A table of 32-bit numbers, one row to a column of it, and bytes, as one compressed blob."""
+    return _ZIP.compress(np.array(numbers.shape, np.int32).tobytes() + numbers.tobytes() + data)
 
 
-def unpack(blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    shape = np.frombuffer(raw, np.int64, 2 * n, 8)
-    kinds = {np.dtype(c).num: np.dtype(c) for c in "bBhHiIlLqQd"}
-    out, at = [], 8 * (1 + 2 * n)
-    for kind, size in shape.reshape(-1, 2):
-        d = kinds[int(kind)]
-        out.append(np.frombuffer(raw, d, int(size), at))
-        at += d.itemsize * int(size)
-    return out
+def unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
+    raw = _UNZIP.decompress(blob)
+    rows, n = np.frombuffer(raw, np.int32, 2).tolist()
+    return np.frombuffer(raw, np.int32, rows * n, 8).reshape(rows, n), raw[8 + 4 * rows * n :]
+
+
+def cut(numbers: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Stretches of numbers as binary values, at no cost per stretch."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * numbers.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(numbers))])
+
+
+def joined(column) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all values of a binary column, and where each value begins (and the end)."""
+    if not len(column):
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    flat, offsets = buffer_of(column)
+    return np.frombuffer(flat, np.uint64), offsets // 8
+
+
+def _dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of hashes by bucket, the buckets that have some, and where each begins in that order (and the end)."""
+    of = ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    of = of[order]
+    head = np.flatnonzero(np.diff(of, prepend=-1))
+    return order, of[head], np.append(head, len(of))
 
 
 def by_bucket(hashes: np.ndarray, buckets: int):
     """(bucket, positions) of hashes dealt into buckets."""
-    of = (hashes >> np.uint64(20)) % np.uint64(buckets)
-    order = np.argsort(of, kind="stable")
-    cuts = np.flatnonzero(np.diff(of[order])) + 1
-    for part in np.split(order, cuts):
-        if len(part):
-            yield int(of[part[0]]), part
+    order, of, cuts = _dealt(hashes, buckets)
+    cuts = cuts.tolist()
+    for b, low, high in zip(of.tolist(), cuts, cuts[1:]):
+        yield b, order[low:high]
 
 
 def shared_hashes(chunks: DataFrame, distinct_anchors, buckets: int) -> DataFrame:
@@ -112,22 +127,23 @@ def shared_hashes(chunks: DataFrame, distinct_anchors, buckets: int) -> DataFram
 
     def send(key, table):
         hashes = distinct_anchors(table)
-        rows = [(b, pack(np.sort(hashes[at]))) for b, at in by_bucket(hashes, buckets)]
-        return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int64()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()), "blob": pa.array([x for _, x in rows], pa.binary())})
-
-    def meet(key, table):
-        lists = [unpack(b)[0] for b in table["blob"].to_pylist()]
-        every = np.sort(np.concatenate(lists))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        rows = []
-        for chunk, own in zip(table["chunk"].to_pylist(), lists):
-            both = np.intersect1d(own, twice, assume_unique=True)
-            if len(both):
-                rows.append((chunk, pack(both)))
-        return pa.table({"chunk": pa.array([c for c, _ in rows], pa.int64()), "blob": pa.array([x for _, x in rows], pa.binary())})
+        order, of, cuts = _dealt(hashes, buckets)
+        return pa.table({"bucket": pa.array(of, pa.int64()), "chunk": pa.array(np.full(len(of), key[0].as_py()), pa.int64()), "blob": cut(hashes[order], cuts)})
 
     sent = chunks.groupBy("chunk").applyInArrow(send, "bucket long, chunk long, blob binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "chunk long, blob binary")
+    return sent.groupBy("bucket").applyInArrow(lambda key, table: meet(table), "chunk long, blob binary")
+
+
+def meet(table) -> pa.Table:
+    """chunk, blob: of each chunk's hashes in a bucket, those another chunk has too. All chunks are settled by one sort."""
+    every, begin = joined(table["blob"])
+    order = np.argsort(every, kind="stable")
+    same = np.diff(every[order]) == 0
+    twice = np.zeros(len(every), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    cuts = np.concatenate([[0], np.cumsum(twice)])[begin]
+    some = np.diff(cuts) > 0
+    return pa.table({"chunk": table["chunk"].filter(pa.array(some)), "blob": cut(every[twice], np.append(cuts[:-1][some], cuts[-1]))})
 
 
 def resolve(docs: DataFrame, method, out_schema: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -143,7 +159,7 @@ def resolve(docs: DataFrame, method, out_schema: str, chunk_bytes: int = CHUNK_B
     shared = shared_hashes(chunks, method.anchors, n)
 
     def spread(key, left, right):
-        hashes = np.concatenate([unpack(b)[0] for b in right["blob"].to_pylist()]) if right.num_rows else np.zeros(0, np.uint64)
+        hashes = joined(right["blob"])[0]
         if not left.num_rows:
             return _sent([], key)
         own, of, blob = method.fragments(left, np.sort(hashes))

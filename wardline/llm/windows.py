@@ -41,18 +41,23 @@ def _folded(owner: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return head, np.diff(np.append(head, len(number)))
 
 
+def _runs(row: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Runs of windows as they are sent: row of the chunk, first unit in it, number of windows."""
+    return np.stack([row, start, count], axis=1).astype(np.int32)
+
+
 class Fragments:
     """Stretches of text around anchors, in order of occurrence, one for each run of windows with one anchor.
 
     ``data`` holds text; ``begin`` and ``end`` are the bytes of a fragment in it, ``anchor`` the byte at which its anchor
-    begins, ``count`` how many windows start in it, ``gram`` its anchor's hash, ``first`` the unit it begins with.
+    begins, ``count`` how many windows start in it, ``first`` the unit it begins with.
     """
 
-    __slots__ = ("data", "begin", "end", "anchor", "count", "gram", "first")
+    __slots__ = ("data", "begin", "end", "anchor", "count", "first")
 
-    def __init__(self, data, begin, end, anchor, count, gram, first):
+    def __init__(self, data, begin, end, anchor, count, first):
         self.data, self.begin, self.end, self.anchor = data, begin, end, anchor
-        self.count, self.gram, self.first = count, gram, first
+        self.count, self.first = count, first
 
     def pick(self, at: np.ndarray) -> Fragments:
         return Fragments(self.data, *(getattr(self, n)[at] for n in self.__slots__[1:]))
@@ -115,11 +120,11 @@ class Method:
         often = (np.bincount(kind[np.flatnonzero(np.diff(place, prepend=-1))])[kind] > 1)
         mine = np.flatnonzero(often)
         owner, unit = _unfolded(low[mine], count[mine])
-        late = self.late(self._cut(text, low[mine], count[mine], at[mine], gram[mine]))
+        late = self.late(self._cut(text, low[mine], count[mine], at[mine]))
         row = lambda u: np.searchsorted(text.first, u, "right") - 1
         head, n = _folded(row(unit[late]), unit[late])
         start = unit[late][head]
-        own = pack(row(start).astype(np.int32), (start - text.first[row(start)]).astype(np.int32), n.astype(np.int32)) if len(head) else None
+        own = _runs(row(start), start - text.first[row(start)], n).tobytes() or None
         # Windows that come first in the chunk, of runs whose anchor another chunk has too.
         head, n = _folded(owner[~late], unit[~late])
         whole = np.flatnonzero(~often)
@@ -129,37 +134,41 @@ class Method:
         near = np.searchsorted(shared, gram[run])
         known = shared[np.minimum(near, len(shared) - 1)] == gram[run] if len(shared) else np.zeros(len(run), bool)
         run, low, count = run[known], low[known], count[known]
-        found = self._cut(text, low, count, at[run], gram[run])
+        found = self._cut(text, low, count, at[run])
         rows = row(low)
-        ids, start = _ids(table)[rows], low - text.first[rows]
+        ids = np.ascontiguousarray(_ids(table)[rows]).view(np.int32).reshape(-1, 2)
+        numbers = np.stack([found.end - found.begin, found.anchor - found.begin, count, rows, low - text.first[rows], ids[:, 0], ids[:, 1]]).astype(np.int32)
+        begin, end = found.begin, found.end
 
         def blob(w: np.ndarray) -> bytes:
-            b, e = found.begin[w], found.end[w]
-            data = np.frombuffer(b"".join([found.data[x:y] for x, y in zip(b.tolist(), e.tolist())]), np.uint8)
-            return pack((e - b).astype(np.int32), (found.anchor[w] - b).astype(np.int32), count[w].astype(np.int32), gram[run[w]], ids[w], rows[w].astype(np.int32), start[w].astype(np.int32), data)
+            return pack(numbers[:, w], b"".join([found.data[x:y] for x, y in zip(begin[w].tolist(), end[w].tolist())]))
 
         return own, gram[run], blob
 
-    def _cut(self, text: Text, low, count, at, gram) -> Fragments:
-        return Fragments(text.data, text.starts[low], text.upto(low + count + self.length - 2), text.starts[at], count, gram, low)
+    def _cut(self, text: Text, low, count, at) -> Fragments:
+        return Fragments(text.data, text.starts[low], text.upto(low + count + self.length - 2), text.starts[at], count, low)
 
     def answer(self, blobs: list[bytes]):
         """Per blob, the windows of its fragments that are not first anywhere: row, start, and number of consecutive ones."""
-        size, anchor, count, gram, doc, row, start, data = (np.concatenate(x) for x in zip(*map(unpack, blobs)))
-        source = np.repeat(np.arange(len(blobs)), [len(unpack(b)[0]) for b in blobs])
-        end = np.cumsum(size.astype(np.int64))
+        numbers, data = zip(*map(unpack, blobs))
+        source = np.repeat(np.arange(len(blobs)), [x.shape[1] for x in numbers])
+        numbers = np.concatenate(numbers, axis=1)
+        size, anchor, count, row, start = numbers[:5].astype(np.int64)
+        doc = np.ascontiguousarray(numbers[5:].T).view(np.int64).ravel()
+        end = np.cumsum(size)
         begin = end - size
         order = np.lexsort((start, row, doc))
-        found = Fragments(data.tobytes(), begin[order], end[order], (begin + anchor)[order], count[order].astype(np.int64), gram[order], None)
+        found = Fragments(b"".join(data), begin[order], end[order], (begin + anchor)[order], count[order], None)
         found.first = self.units_before(found)
         late = self.late(found)
-        owner, unit = _unfolded(start[order].astype(np.int64), found.count)
+        owner, unit = _unfolded(start[order], found.count)
         head, n = _folded(owner[late], unit[late])
         f = order[owner[late][head]]
-        first = unit[late][head]
-        for b in range(len(blobs)):
-            mine = np.flatnonzero(source[f] == b)
-            yield pack(row[f[mine]], first[mine].astype(np.int32), n[mine].astype(np.int32)) if len(mine) else None
+        back = np.argsort(source[f], kind="stable")
+        runs = _runs(row[f], unit[late][head], n)[back]
+        cuts = np.searchsorted(source[f][back], np.arange(len(blobs) + 1)).tolist()
+        for low, high in zip(cuts, cuts[1:]):
+            yield runs[low:high].tobytes() if high > low else None
 
     def units_before(self, found: Fragments) -> np.ndarray:
         """The unit of the whole data that each fragment begins with."""
@@ -168,11 +177,10 @@ class Method:
     def covered(self, text: Text, answers: list[bytes]) -> np.ndarray:
         """Per unit whether a repeated window covers it."""
         change = np.zeros(int(text.first[-1]) + 1, np.int32)
-        for blob in answers:
-            row, start, count = unpack(blob)
-            low = text.first[row] + start
-            np.add.at(change, low, 1)
-            np.add.at(change, low + count - 1 + self.length, -1)
+        row, start, count = np.frombuffer(b"".join(answers), np.int32).reshape(-1, 3).T
+        low = text.first[row] + start
+        np.add.at(change, low, 1)
+        np.add.at(change, low + count - 1 + self.length, -1)
         return np.cumsum(change, dtype=np.int32)[:-1] > 0
 
     def finish(self, table, answers: list[bytes]) -> pa.Table:
