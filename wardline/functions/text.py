@@ -134,6 +134,11 @@ def literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def escaped(character: str) -> str:
+    """A character as it stands in an expression, inside a class or not."""
+    return character if character.isalnum() or not character.isascii() or character == " " else "\\" + character
+
+
 def clip_sql(text: str, n: int = 90) -> str:
     """``clip`` as SQL."""
     return f"transform(array(trim(regexp_replace({text}, '[ \\\\t\\\\r\\\\n\\\\f\\\\x0b]+', ' '))), f -> CASE WHEN length(f) > {n} THEN concat(left(f, {n - 1}), '…') ELSE f END)[0]"
