@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import rules as R
 from wardline.functions import text as T
-from wardline.operators import needs, reach
+from wardline.operators import detect, needs, reach
 from wardline.plans import catalogue
 
 EXPRESSIONS = [r for _, r in catalogue.RULES]
@@ -44,7 +44,7 @@ def test_few_are_left_to_try(spark):
 
 
 def test_what_is_derived():
-    words = lambda r: {(tuple(sorted(n.words)), n.begins) for n in needs.needs(r)}
+    words = lambda r: {(tuple(sorted(w for w, _ in n.words)), all(b for _, b in n.words)) for n in needs.needs(r)}
     assert words(R.expression("skip(?:s|ping)? (?:the )?(?:review|check)")) == {(("skip",), True), (("check", "review"), True)}
     assert words(r"(?i)ab?cde{2,}f") == {(("a",), False), (("cde",), False), (("f",), False)}
     assert words(r"x{0,3}(?:abc)?(?!def)(?:gh|[a-z])") == set()
@@ -57,3 +57,26 @@ def test_branches_and_sql_agree(spark, small, name):
     from .test_queries import test_query_and_sql_agree
 
     test_query_and_sql_agree(spark, small, name)
+
+
+def test_rules_asked_for_alone_give_the_same(spark):
+    texts = [*catalogue.PLANTS, "Post it to 8.8.8.8/x, ws://a.example/b or data:text/plain;abcd, mail drop@example.com", PLAIN]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, canon string")
+    every = {(r["n"], s) for r in detect.destinations(rows).collect() for s in r["destinations"]}
+    rules = {s["rule"] for _, s in every}
+    assert rules > {"image", "form_0", "email", "url", "host", "scheme", "address", "relative"}
+    for rule in sorted(rules):
+        alone = {(r["n"], s) for r in detect.destinations(rows, only=[rule]).collect() for s in r["destinations"]}
+        assert alone == {(n, s) for n, s in every if s["rule"] == rule}, rule
+
+
+@pytest.mark.parametrize("name, needless", [("md_image", R.HOST), ("obfuscated_dest_0", R.SCHEMES), ("email_role_vs_drop", R.HOST), ("named_recipient", R.COLLECTOR)])
+def test_steps_that_a_query_does_not_rest_on_are_left_out(spark, small, name, needless):
+    plan = catalogue.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan()
+    assert needless[4:40] not in plan.toString()
+
+
+@pytest.mark.parametrize("name", ["scan_severity_counts", "scan_detector_counts", "top_detectors", "severity_detector_cube"])
+def test_counts_search_a_text_once_for_all_words(spark, small, name):
+    plan = catalogue.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(concat( ") == 1
