@@ -280,3 +280,42 @@ def test_reports(spark):
     assert tuple(combine.summary(units, df, ["u"], "g").first()) == (2, 3, 1, 1, 3)
     assert [r["u"] for r in combine.usable(units, df, ["u"], R.HIGH).orderBy("u").collect()] == [2, 3]
     assert combine.severity_cube(df).count() == 3 + 3 + 2 + 1
+
+
+def test_one_long_text_does_not_widen_the_others():
+    import tracemalloc
+
+    import pandas as pd
+
+    texts = ["é\u200bﬁn о"] * 2000 + ["é ſо" * 25_000, None]
+    tracemalloc.start()
+    got = T.canonicalised.func(pd.Series(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0] == "éfin o" and got[2000] == "é so" * 25_000 and got[2001] is None
+    assert peak < 50_000_000
+
+
+def test_canonical_form_is_that_of_each_character():
+    import unicodedata
+
+    def slow(text):
+        drop = set(T.ZERO_WIDTH + T.BIDI)
+        kept = "".join(c for c in text if c not in drop and unicodedata.category(c) != "Cf" and not (0xFE00 <= ord(c) <= 0xFE0F or 0xE0000 <= ord(c) <= 0xE01EF))
+        return unicodedata.normalize("NFKC", kept).translate(str.maketrans(T.LOOKALIKE_FROM, T.LOOKALIKE_TO))
+
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for n in range(0, len(points), 997):
+        text = "a" + "e".join(points[n : n + 997])
+        assert T.canonical(text) == slow(text)
+
+
+def test_runs_are_normalised_like_whole_texts(spark):
+    import random
+
+    pick = random.Random(7)
+    odd = ["\u0301", "\u0323", "\u200d", "\u200b", "\ufb01", "\u00a0", "\u2026", "\uff76", "\uff9e", "\u1100", "\u1161", "\u11a8", "\U0001d422", "\U000e0041", "\u2028", "\u0344", "\u0338", "\u00e9", "\u0430", "\u6f22", "\u2126", "\u212b"]
+    texts = ["".join(pick.choice(odd if pick.random() < 0.5 else list("aoe =<>\n\t\x01\x7f\x00K")) for _ in range(pick.randint(1, 40))) for _ in range(2000)] + ["", None, "plain", "\u200d", "\ufb01"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    got = {r["n"]: r["canon"] for r in T.with_canonical(df, "t").collect()}
+    assert [(t, got[i]) for i, t in enumerate(texts) if got[i] != T.canonical(t)] == []
